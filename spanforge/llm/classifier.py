@@ -61,7 +61,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, sign = index_vectors()
         total, any_ = np.zeros((BUCKETS, DIM)), False
-        for b in arrow_batches(batches, 8 << 20):
+        for b in arrow_batches(batches):
             total += context_sums(Tokens(b.column(0), trim=False), place, sign)
             any_ = True
         if any_:
@@ -163,7 +163,7 @@ def pooled(docs: DataFrame, vectors: np.ndarray, key: str = "doc_id") -> DataFra
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        for b in arrow_batches(batches, 8 << 20):
+        for b in arrow_batches(batches):
             x = pool(Tokens(b.column(1), trim=False), held.value)
             flat = pa.array(x.reshape(-1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * DIM, pa.int32()), flat)], [key, "v"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -136,10 +137,19 @@ def ngram_hashes(tokens: Tokens, n: int, short: bool = False) -> tuple[np.ndarra
     return rows[keep], g[keep] ^ np.uint64(n)
 
 
-def arrow_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+def release_memory() -> None:
+    """Give freed memory back to the system, so that a worker's size follows what it holds and not what it held once."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def arrow_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about `max_bytes` at most (a single longer row stays whole)."""
     for b in batches:
         parts = max(1, min(b.num_rows, -(-b.nbytes // max_bytes)))
         step = -(-b.num_rows // parts) if b.num_rows else 1
         for at in range(0, b.num_rows, step):
             yield b.slice(at, step)
+            release_memory()

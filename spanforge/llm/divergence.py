@@ -116,7 +116,7 @@ def fit_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> R
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str], float] = {}
-        for b in arrow_batches(batches, 8 << 20):
+        for b in arrow_batches(batches):
             texts, langs, t = b.column(1).to_pylist(), _langs(b.column(0)), Tokens(b.column(1))
             chars = char_counts(texts)
             ok = _judged(chars, t)
@@ -144,7 +144,7 @@ def fit_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> R
 
     def second(batches):
         sums: dict[str, np.ndarray] = {}
-        for b in arrow_batches(batches, 8 << 20):
+        for b in arrow_batches(batches):
             texts, langs, t = b.column(1).to_pylist(), _langs(b.column(0)), Tokens(b.column(1))
             n_chars = np.array([len(x or "") for x in texts])
             ok = (n_chars >= MIN_CHARS) & (t.lengths >= MIN_WORDS)
@@ -199,7 +199,7 @@ def judge(docs: DataFrame, refs: References | None = None, key: str = "doc_id")
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        for b in arrow_batches(batches, 8 << 20):
+        for b in arrow_batches(batches):
             chars, words, cd, wd, ok = distances(b.column(2), _langs(b.column(1)), held.value)
             keep = ~ok | ((cd <= CHAR_LIMIT) & (wd <= WORD_LIMIT))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(chars), pa.array(words), pa.array(cd, mask=~ok), pa.array(wd, mask=~ok), pa.array(keep)], [key, "chars", "words", "char_distance", "word_distance", "keep"])

@@ -146,7 +146,7 @@ def _evidence(docs: DataFrame, columns: list[str], parts, model: TextModel, kind
 
     def run(batches):
         m = held.value
-        for b in arrow_batches(batches, 8 << 20):
+        for b in arrow_batches(batches):
             key, *rest = (b.column(i).to_pylist() for i in range(b.num_columns))
             rows = [parts(*r) for r in zip(*rest, strict=True)]
             ll = [m.likelihoods(r[4]) for r in rows]

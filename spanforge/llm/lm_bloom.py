@@ -66,7 +66,7 @@ def count_grams(docs: DataFrame, order: int, segments: int) -> DataFrame:
                 s = slice(at, at + 500_000)
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(u[s])), pa.array(n[s]), pa.array(k[s]), pa.array(segment_of(u[s], segments))], ["gram", "n", "k", "seg"])
 
-        for b in arrow_batches(batches, 8 << 20):
+        for b in arrow_batches(batches):
             t = Tokens(b.column(0))
             for n in range(1, order + 1):
                 u, k = np.unique(ngram_hashes(t, n)[1], return_counts=True)
@@ -244,7 +244,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", mix: float = 0.7,
     held = spark.sparkContext.broadcast(model.read())
 
     def run(batches):
-        for b in arrow_batches(batches, 8 << 20):
+        for b in arrow_batches(batches):
             t = Tokens(b.column(1))
             found = []
             for g in _needs(t, order):
@@ -271,7 +271,7 @@ def _score_shuffled(docs: DataFrame, model: Model, key: str, mix: float) -> Data
     width = 2 * order - 1
 
     def needs(batches):
-        for b in arrow_batches(batches, 4 << 20):
+        for b in arrow_batches(batches):
             t = Tokens(b.column(1))
             rid = b.column(0).to_numpy()
             for part, g in enumerate(_needs(t, order)):

@@ -86,7 +86,7 @@ def _mixing_sql() -> str:
     b = mixing.BLOCK_TOKENS
     return f"""
 WITH n AS (
-  SELECT source, doc_id, SUM(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f]+'), x -> x <> ''))) AS n_tokens
+  SELECT source, doc_id, SUM(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f]+'), lambda x: x <> ''))) AS n_tokens
   FROM documents GROUP BY source, doc_id),
 h AS (SELECT *, CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(source, '') || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM n),
 s AS (

@@ -95,7 +95,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", vocabulary: str = VOCABUL
         find = regex.compile(pattern).findall
         merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         counts = _Counts(whole, merge)
-        for b in arrow_batches(batches, 8 << 20):
+        for b in arrow_batches(batches):
             pre, single, total = [], [], []
             for text in b.column(1).to_pylist():
                 pieces = find(text) if text else []
