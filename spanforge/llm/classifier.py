@@ -95,9 +95,10 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 def pool(t: Tokens, vectors: np.ndarray) -> np.ndarray:
     """(rows, DIM) means of the tokens' vectors."""
-    v = vectors[buckets_of(t)].astype(np.float64)
-    sums = np.concatenate([np.zeros((1, DIM)), np.cumsum(v, axis=0)])
-    return (sums[t.offsets[1:]] - sums[t.offsets[:-1]]) / np.maximum(t.lengths, 1)[:, None]
+    b, rows, n = buckets_of(t), t.rows, len(t.lengths)
+    # one dimension at a time: a token's whole vector would be a hundred times its text
+    sums = np.stack([np.bincount(rows, weights=vectors[:, k][b], minlength=n) for k in range(DIM)], axis=1)
+    return sums / np.maximum(t.lengths, 1)[:, None]
 
 
 class Network:
