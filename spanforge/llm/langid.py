@@ -162,7 +162,7 @@ def _evidence(docs: DataFrame, columns: list[str], parts, model: TextModel, kind
 
 def host_priors(evidence: DataFrame, langs: list[str]) -> DataFrame:
     """(host, domain, prior): hierarchically smoothed shares per host, from one grouped count."""
-    cols = [F.sum((F.col("best") == x).cast("long")).alias(f"n{i}") for i, x in enumerate(langs)]
+    cols = [F.count_if(F.col("best") == x).alias(f"n{i}") for i, x in enumerate(langs)]
     counts = evidence.groupBy("host", "domain").agg(*cols)
     n = F.array(*[F.col(f"n{i}").cast("double") for i in range(len(langs))])
     counts = materialize(counts.select("host", "domain", n.alias("n")), "hostcounts")

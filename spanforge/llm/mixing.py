@@ -4,7 +4,7 @@ Each source's documents are shuffled by digest and cut into blocks of equal toke
 point frac((i + 1) phi), in 32-bit fixed point, through the cumulative target weights to a source; slots are ranked
 per source and the r-th takes the source's block r modulo its blocks (epoch r div its blocks). Unless a number of slots is given, there are as
 many as it takes for each source to have all its blocks used once, so nothing is lost and weights are met by
-repeating blocks.
+repeating blocks. Weights that nobody gave are raised for the smallest sources, so that this takes at most STRETCH times the blocks.
 
 Defined results: null or blank text has no tokens and travels with the block it falls into; rows of one source and doc_id (repeated
 rows) are one document with their tokens added, and in `mix` all its rows travel together; a null source is a source of
@@ -27,8 +27,10 @@ TEMPERATURE = 0.7
 PHI32 = 2_654_435_769
 #: Documents that one task of the prefix sum holds, about.
 BUCKET_DOCS = 200_000
-#: Longest schedule that a lack of a `slots` argument makes, in epochs of the whole.
-MAX_STRETCH = 4
+#: Longest schedule that weights of our own make, in times of the blocks (with SPARE blocks more a source).
+STRETCH = 4
+#: A source's slots may be this many fewer than its share, by the sequence's discrepancy.
+SPARE = 2
 
 
 def token_expr(text: Column) -> Column:
@@ -60,7 +62,11 @@ def targets(spark, held: DataFrame, weights: dict[str, float] | None) -> DataFra
     """(source, n_blocks, tokens, w): integer weights, from the given ones or from tokens to the TEMPERATURE."""
     per = held.groupBy("source").agg((F.max("block") + 1).alias("n_blocks"), F.sum("n_tokens").alias("tokens"))
     if weights is None:
-        return per.withColumn("w", F.greatest(F.lit(1), F.floor(F.pow(F.col("tokens").cast("double"), F.lit(TEMPERATURE)) * 100)).cast("long"))
+        raw = F.greatest(F.lit(1), F.floor(F.pow(F.col("tokens").cast("double"), F.lit(TEMPERATURE)) * 100)).cast("long")
+        per = materialize(per.withColumn("w", raw), "mixweights")
+        tot = per.agg(F.sum("w").alias("w"), F.sum(F.col("n_blocks") + SPARE).alias("b")).first()
+        least = F.expr(f"((n_blocks + {SPARE}) * {tot.w or 0} + {(STRETCH - 1) * (tot.b or 1)} - 1) div {(STRETCH - 1) * (tot.b or 1)}")
+        return per.withColumn("w", F.greatest("w", least).cast("long"))
     given = spark.createDataFrame([(k, int(v * 1_000_000)) for k, v in weights.items()], "s3 string, w long")
     return per.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("s3"))).where("w > 0").drop("s3")
 
@@ -70,13 +76,10 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_tok
     spark = docs.sparkSession
     held = materialize(blocks(docs, block_tokens, seed), "mixblocks")
     goal = materialize(targets(spark, held, weights), "mixgoal")
-    tot = goal.agg(F.sum("w").alias("w"), F.sum("n_blocks").alias("b")).first()
+    tot = goal.agg(F.sum("w").alias("w")).first()
     if slots is None:
-        if not tot.b:
-            slots = 0
-        else:
-            need = goal.agg(F.max(F.expr(f"n_blocks * {tot.w} / w"))).first()[0]
-            slots = min(int(-(-need // 1)) + 1, MAX_STRETCH * tot.b)
+        need = goal.agg(F.max(F.expr(f"((n_blocks + {SPARE}) * {tot.w or 0} + w - 1) div w"))).first()[0]
+        slots = int(need or 0)
     # a source's interval of the 32-bit points
     upto = F.sum("w").over(W.orderBy(F.col("source").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow))
     edge = lambda x: F.floor(x.cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(11,0)") / F.lit(int(tot.w or 1)).cast("decimal(20,0)")).cast("long")

@@ -94,12 +94,13 @@ s AS (
     CAST(SUM(n_tokens) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - n_tokens AS BIGINT) AS start,
     CAST(SUM(n_tokens) OVER (PARTITION BY source) AS BIGINT) AS total FROM h),
 b AS (SELECT *, LEAST(start // {b}, GREATEST(1, (total + {b - 1}) // {b}) - 1) AS block FROM s),
-g AS (
+r AS (
   SELECT source, MAX(block) + 1 AS n_blocks, GREATEST(1, CAST(FLOOR(POW(CAST(SUM(n_tokens) AS DOUBLE), {mixing.TEMPERATURE}) * 100) AS BIGINT)) AS w
   FROM b GROUP BY source),
-t AS (SELECT CAST(SUM(w) AS BIGINT) AS w, CAST(SUM(n_blocks) AS BIGINT) AS b FROM g),
-slots AS (
-  SELECT LEAST(CAST(CEIL(MAX(CAST(n_blocks * t.w AS DOUBLE) / g.w)) AS BIGINT) + 1, {mixing.MAX_STRETCH} * ANY_VALUE(t.b)) AS k FROM g, t),
+f AS (SELECT CAST(SUM(w) AS BIGINT) AS w, CAST({mixing.STRETCH - 1} * SUM(n_blocks + {mixing.SPARE}) AS BIGINT) AS d FROM r),
+g AS (SELECT source, n_blocks, GREATEST(r.w, ((n_blocks + {mixing.SPARE}) * f.w + f.d - 1) // f.d) AS w FROM r, f),
+t AS (SELECT CAST(SUM(w) AS BIGINT) AS w FROM g),
+slots AS (SELECT MAX(((n_blocks + {mixing.SPARE}) * t.w + g.w - 1) // g.w) AS k FROM g, t),
 spans AS (
   SELECT source, n_blocks, (CAST(upto - g.w AS HUGEINT) * 4294967296) // t.w AS lo, (CAST(upto AS HUGEINT) * 4294967296) // t.w AS hi
   FROM (SELECT *, SUM(w) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING) AS upto FROM g) g, t),
