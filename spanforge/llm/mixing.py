@@ -58,9 +58,10 @@ def blocks(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: str = SEED)
     return ids.select("source", "doc_id", "n_tokens", F.least(F.expr(f"start div {int(block_tokens)}"), last).cast("long").alias("block"), "start", "h")
 
 
-def targets(spark, held: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+def targets(spark, held: DataFrame, weights: dict[str, float] | None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(source, n_blocks, tokens, w): integer weights, from the given ones or from tokens to the TEMPERATURE."""
-    per = held.groupBy("source").agg((F.max("block") + 1).alias("n_blocks"), F.sum("n_tokens").alias("tokens"))
+    per = held.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    per = per.withColumn("n_blocks", F.greatest(F.lit(1).cast("long"), F.expr(f"(tokens + {block_tokens - 1}) div {block_tokens}")))
     if weights is None:
         raw = F.greatest(F.lit(1), F.floor(F.pow(F.col("tokens").cast("double"), F.lit(TEMPERATURE)) * 100)).cast("long")
         per = materialize(per.withColumn("w", raw), "mixweights")
@@ -75,7 +76,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_tok
     """(slot, source, epoch, block, doc_id, n_tokens, offset): every document of every slot's block."""
     spark = docs.sparkSession
     held = materialize(blocks(docs, block_tokens, seed), "mixblocks")
-    goal = materialize(targets(spark, held, weights), "mixgoal")
+    goal = materialize(targets(spark, held, weights, block_tokens), "mixgoal")
     tot = goal.agg(F.sum("w").alias("w")).first()
     if slots is None:
         need = goal.agg(F.max(F.expr(f"((n_blocks + {SPARE}) * {tot.w or 0} + w - 1) div w"))).first()[0]

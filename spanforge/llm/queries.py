@@ -95,7 +95,7 @@ s AS (
     CAST(SUM(n_tokens) OVER (PARTITION BY source) AS BIGINT) AS total FROM h),
 b AS (SELECT *, LEAST(start // {b}, GREATEST(1, (total + {b - 1}) // {b}) - 1) AS block FROM s),
 r AS (
-  SELECT source, MAX(block) + 1 AS n_blocks, GREATEST(1, CAST(FLOOR(POW(CAST(SUM(n_tokens) AS DOUBLE), {mixing.TEMPERATURE}) * 100) AS BIGINT)) AS w
+  SELECT source, GREATEST(1, (CAST(SUM(n_tokens) AS BIGINT) + {b - 1}) // {b}) AS n_blocks, GREATEST(1, CAST(FLOOR(POW(CAST(SUM(n_tokens) AS DOUBLE), {mixing.TEMPERATURE}) * 100) AS BIGINT)) AS w
   FROM b GROUP BY source),
 f AS (SELECT CAST(SUM(w) AS BIGINT) AS w, CAST({mixing.STRETCH - 1} * SUM(n_blocks + {mixing.SPARE}) AS BIGINT) AS d FROM r),
 g AS (SELECT source, n_blocks, GREATEST(r.w, ((n_blocks + {mixing.SPARE}) * f.w + f.d - 1) // f.d) AS w FROM r, f),
