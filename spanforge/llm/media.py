@@ -51,7 +51,7 @@ def read_header(head: bytes) -> dict:
         return out | {"kind": "gif", "width": w, "height": h}
     if head[:2] == b"\xff\xd8":
         at = 2
-        while at + 9 < len(head) and head[at] == 0xFF:
+        while at + 9 <= len(head) and head[at] == 0xFF:
             if 0xC0 <= head[at + 1] <= 0xCF and head[at + 1] not in (0xC4, 0xC8, 0xCC):
                 h, w = struct.unpack(">HH", head[at + 5 : at + 9])
                 return out | {"kind": "jpeg", "width": w, "height": h}
