@@ -181,3 +181,11 @@ def heading_level(text: Column) -> Column:
 def query_key(text: Column) -> Column:
     """Lower case, blanks collapsed."""
     return F.lower(squeeze(text))
+
+
+def hashed_features(texts, key: str, buckets: int = 64):
+    """Signed hashed bag (key, bucket, weight): weight 1 + ln(tf), bucket and sign from the token's digest."""
+    t = texts.select(key, F.explode(index_tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    h = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long")
+    sign = F.when(F.shiftright(h, 20) % 2 == 0, 1.0).otherwise(-1.0)
+    return t.select(key, (h % buckets).alias("bucket"), (sign * (1 + F.log("tf"))).alias("w")).groupBy(key, "bucket").agg(F.sum("w").alias("weight"))

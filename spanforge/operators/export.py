@@ -49,3 +49,11 @@ def answer_rows(results: DataFrame, regions: DataFrame) -> DataFrame:
         return rows.groupBy("query_id").agg(T.digest16(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]), "\n")).alias(name), F.count("*").alias("n_" + name))
 
     return results.select("query_id").join(side("context", "contexts"), "query_id", "left").join(side("gold_refs", "references"), "query_id", "left")
+
+
+def tool_summary(results: DataFrame, regions: DataFrame, gold: DataFrame) -> DataFrame:
+    """Sizes of corpus and suite with the headline metrics, as one row."""
+    a = regions.agg(F.count("*").alias("regions"), F.countDistinct("doc_id").alias("documents"))
+    g = gold.agg(F.countDistinct("query_id").alias("labelled"), F.countDistinct("ref").alias("gold_refs"))
+    m = results.agg(F.count("*").alias("examples"), F.avg(F.col("hit_at_k").cast("double")).alias("hit_at_k"), F.avg("rr").alias("mrr"))
+    return a.crossJoin(g).crossJoin(m)

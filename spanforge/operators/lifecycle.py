@@ -167,3 +167,11 @@ def decisions(status: DataFrame) -> DataFrame:
     prio = F.create_map(*[F.lit(x) for k, v in DECISIONS.items() for x in (k, v[1])])
     s = status.withColumn("state", state)
     return s.select("ref", "state", F.element_at(table, F.col("state")).alias("next_action"), F.element_at(prio, F.col("state")).alias("priority"), "candidate")
+
+
+def rates(outcomes: DataFrame, status: DataFrame) -> DataFrame:
+    """One summary row of a revision: automatic, review and stale rates, and what the naive method gets silently wrong."""
+    r = lambda c: F.round(F.avg(c.cast("double")), 4)
+    s = F.col("status")
+    a = status.agg(F.count("*").alias("labels"), r(s.isin("same_file_exact", "moved_exact")).alias("auto_rate"), r(s.isin("fuzzy", "split_support")).alias("review_rate"), r(s == "stale").alias("stale_rate"))
+    return a.crossJoin(outcomes.agg(r(F.col("path_ordinal") == "silent_wrong").alias("naive_silent_wrong_rate")))

@@ -124,3 +124,29 @@ def page_paragraphs(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.posexplode(bodies).alias("i", "body"))
     clean = T.squeeze(F.regexp_replace("body", "<[^>]*>", " "))
     return rows.select("page_id", (F.col("i") + 1).cast("long").alias("ordinal"), clean.alias("text")).where("text <> ''")
+
+
+def section_of(regions: DataFrame) -> DataFrame:
+    """The first section (not the deepest) that holds each region, with regions before any heading left out."""
+    r = heading_parents(regions)
+    w = W.partitionBy("doc_id").orderBy("ordinal")
+    # a heading starts an outermost section when no earlier open heading is of a lower or equal level: its level is a new minimum
+    low = F.min(F.when(F.col("level") > 0, F.col("level"))).over(w.rowsBetween(W.unboundedPreceding, -1))
+    top = (F.col("level") > 0) & (low.isNull() | (F.col("level") <= low))
+    r = r.withColumn("__top", F.when(top, F.col("ref")))
+    return r.select("ref", F.last("__top", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("section_ref")).where("section_ref is not null")
+
+
+def sliding_areas(docs: DataFrame, by: str, size: int = 10, stride: int = 5) -> DataFrame:
+    """Membership of documents in overlapping areas of `size` documents every `stride`, in id order within `by`."""
+    d = docs.select(by, "doc_id", (F.row_number().over(W.partitionBy(by).orderBy("doc_id")) - 1).cast("long").alias("pos"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("pos") - size + 1) / stride)).cast("long")
+    return d.select(by, "doc_id", F.explode(F.sequence(first, F.floor(F.col("pos") / stride).cast("long"))).alias("area"))
+
+
+def distractors(regions: DataFrame, n: int = 2) -> DataFrame:
+    """N prefixed copies of each region beside the region itself."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(n))).alias("k")
+    r = regions.select("doc_id", "region_id", "text", k)
+    doc = F.when(F.col("k") == 0, F.col("doc_id")).otherwise(F.concat(F.lit("distractor"), F.col("k"), F.lit("_"), F.col("doc_id")))
+    return r.select(F.concat(doc, F.lit(":"), "region_id").alias("ref"), "text")

@@ -642,3 +642,43 @@ def m_mark_and_strip(s, d):
     """M1, M2: marking and stripping leave every text as it was."""
     t = M.table(s, d, "documents").select("doc_id", "text", marking.strip_udf(marking.inject_udf(F.col("text"))).alias("back"))
     return t.select("doc_id", (F.col("text") == F.col("back")).alias("same"))
+
+
+# ---- secondary operators
+
+
+@query
+def r_section_of(s, d):
+    return regions.section_of(M.headed(s, d))
+
+
+@query
+def c_sliding_areas(s, d):
+    return regions.sliding_areas(M.table(s, d, "documents"), "source")
+
+
+@query
+def c_distractors(s, d):
+    return regions.distractors(M.line_regions(s, d)).select("ref", T.digest16(F.col("text")).alias("hash"))
+
+
+@query
+def t_hashed_features(s, d):
+    return r6(T.hashed_features(M.table(s, d, "documents").select("doc_id", "text"), "doc_id"), "weight")
+
+
+@query
+def e_even_sample(s, d):
+    return evaluation.even_sample(M.table(s, d, "documents").select("doc_id", "lang"), 50, ["doc_id"])
+
+
+@query
+def l_rates(s, d):
+    o, n = M.old(s, d), M.new(s, d)
+    status = lifecycle.migrate(o, n)
+    return lifecycle.rates(lifecycle.methods(o, n, status), status)
+
+
+@query
+def p_tool_summary(s, d):
+    return r6(export.tool_summary(M.results(s, d), M.line_regions(s, d), M.gold(s, d)), "hit_at_k", "mrr")

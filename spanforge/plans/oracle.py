@@ -469,3 +469,19 @@ S["p_trace_events"] = sql(EV, f"SELECT {digest(repr('run:') + ' || query_id')} A
 SIDE = lambda c, n: f"{n}_ AS (SELECT query_id, {digest('string_agg(text, chr(10) ORDER BY ref)')} AS {n}, count(*) AS n_{n} FROM (SELECT query_id, unnest({c}) AS ref FROM res) JOIN regions USING (ref) GROUP BY query_id)"
 S["p_answer_rows"] = sql([*EV, SIDE("context", "contexts"), SIDE("gold_refs", "references")], 'SELECT query_id, contexts, n_contexts, "references", n_references FROM res LEFT JOIN contexts_ USING (query_id) LEFT JOIN references_ USING (query_id)').replace("AS references,", 'AS "references",')
 S["m_mark_and_strip"] = "SELECT doc_id, true AS same FROM documents"
+
+S["r_section_of"] = sql(["regions", HEADED, "spn AS (SELECT h.doc_id, h.ref, h.ordinal, (SELECT min(p.ordinal) FROM headed p WHERE p.doc_id = h.doc_id AND p.ordinal > h.ordinal AND p.level > 0 AND p.level <= h.level) AS stop FROM headed h WHERE h.level > 0)"],
+    "SELECT r.ref, arg_min(s.ref, s.ordinal) AS section_ref FROM regions r JOIN spn s ON s.doc_id = r.doc_id AND r.ordinal >= s.ordinal AND (s.stop IS NULL OR r.ordinal < s.stop) GROUP BY r.ref")
+S["c_sliding_areas"] = """WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents)
+SELECT source, doc_id, a AS area FROM d, (SELECT unnest(range(0, (SELECT max(pos) // 5 + 1 FROM d))) AS a) WHERE a * 5 <= pos AND pos < a * 5 + 10"""
+S["c_distractors"] = sql(["regions"], f"SELECT CASE WHEN k = 0 THEN ref ELSE 'distractor' || k || '_' || ref END AS ref, {digest('text')} AS hash FROM regions, (SELECT unnest([0, 1, 2]) AS k)")
+S["t_hashed_features"] = f"""WITH t AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS token FROM documents) GROUP BY ALL),
+h AS (SELECT doc_id, tf, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) AS h FROM t)
+SELECT doc_id, h % 64 AS bucket, round(sum(CASE WHEN (h >> 20) % 2 = 0 THEN 1.0 ELSE -1.0 END * (1 + ln(tf))), 6) AS weight FROM h GROUP BY ALL"""
+S["e_even_sample"] = """WITH d AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS size FROM documents)
+SELECT doc_id, lang FROM d WHERE size <= 50 OR pos IN (SELECT CAST(round(i * (s - 1) / 49.0) AS BIGINT) FROM (SELECT count(*) AS s FROM documents), (SELECT unnest(range(50)) AS i))"""
+S["l_rates"] = sql(MET, """SELECT (SELECT count(*) FROM mg) AS labels, (SELECT round(avg((status IN ('same_file_exact', 'moved_exact'))::INT), 4) FROM mg) AS auto_rate,
+  (SELECT round(avg((status IN ('fuzzy', 'split_support'))::INT), 4) FROM mg) AS review_rate, (SELECT round(avg((status = 'stale')::INT), 4) FROM mg) AS stale_rate,
+  (SELECT round(avg((have AND NOT (same OR alike))::INT), 4) FROM mm) AS naive_silent_wrong_rate""")
+S["p_tool_summary"] = sql(EV, """SELECT (SELECT count(*) FROM regions) AS regions, (SELECT count(DISTINCT doc_id) FROM regions) AS documents, (SELECT count(DISTINCT query_id) FROM gold) AS labelled,
+  (SELECT count(DISTINCT ref) FROM gold) AS gold_refs, count(*) AS examples, round(avg(hit_at_k::INT), 6) AS hit_at_k, round(avg(rr), 6) AS mrr FROM res""")
