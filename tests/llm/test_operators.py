@@ -176,6 +176,29 @@ def test_a_group_that_makes_up_the_corpus(spark):
     assert got <= set(want) and len(got) >= 0.9 * len(want) > 30_000
 
 
+@pytest.mark.parametrize("common", [0.1, 0.2, 0.3])
+def test_candidates_at_all_sizes_of_a_band(spark, common):
+    """Pairs just over the threshold stay candidates at the bottom of a band too, and where many grams are common."""
+    rng, rows, cases = np.random.default_rng(13), [], {}
+    for size in (25, 60, 70, 80, 110, 166, 190, 215, 300, 460, 600, 900, 1280, 1650):
+        for j in (0.61, 0.65, 0.69):
+            sets, rare, shared = [], [], math.ceil(2 * size * j / (1 + j))
+            for _ in range(40):
+                pool = rng.integers(1, 1 << 62, 2 * size - shared, dtype=np.uint64)
+                kept = rng.random(len(pool)) >= common
+                for pick in (np.r_[:size], np.r_[:shared, size : len(pool)]):
+                    pick = pick[np.argsort(pool[pick])]
+                    sets.append(pool[pick])
+                    rare.append(kept[pick])
+            at, keys = sketch_join.part_keys(size * np.arange(len(sets) + 1), np.concatenate(sets), np.concatenate(rare), 0.6)
+            first = len(rows)
+            rows += [(first + i, size, keys[at == i].view(np.int64).tolist()) for i in range(len(sets))]
+            cases[size, j] = {(first + i, first + i + 1) for i in range(0, len(sets), 2)}
+    got = {(r.a, r.b) for r in sketch_join.candidates(spark.createDataFrame(rows, "node long, size int, keys array<long>"), 0.6).collect()}
+    recall = {k: len(v & got) / len(v) for k, v in cases.items()}
+    assert min(recall.values()) >= 0.9 and np.mean(list(recall.values())) > 0.99, recall
+
+
 def test_hamming_distance_bounds_the_difference():
     rng = np.random.default_rng(2)
     for _ in range(20):
