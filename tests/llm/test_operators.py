@@ -199,6 +199,28 @@ def test_candidates_at_all_sizes_of_a_band(spark, common):
     assert min(recall.values()) >= 0.9 and np.mean(list(recall.values())) > 0.99, recall
 
 
+def test_members_of_large_runs_meet(spark):
+    """Two long documents whose equal parts are all in large runs, each with other outsiders, still meet in one cluster."""
+    runs, outsiders = 20, 2 * sketch_join.STAR
+    rows = [(x, 460, list(range(runs))) for x in (10**9, 10**9 + 1)]
+    rows += [(1 + r * outsiders + i, 460, [r]) for r in range(runs) for i in range(outsiders)]
+    links = sketch_join.candidates(spark.createDataFrame(rows, "node long, size int, keys array<long>"), 0.6)
+    assert links.count() == runs * (outsiders + 1)
+    assert {(r.node, r.comp) for r in sketch_join.components(links).collect()} == {(r[0], 1) for r in rows}
+
+
+def test_large_clusters_of_mixed_sizes_are_verified_whole():
+    rng, sets = np.random.default_rng(17), []
+    for size in rng.integers(5, 120, 300):
+        base = rng.integers(1, 5_000, size).astype(np.uint64)
+        for _ in range(4):
+            sets.append(np.unique(base[rng.random(size) < rng.uniform(0.7, 1)]))
+    sets = [sets[x] for x in rng.permutation(len(sets)) if len(sets[x])]
+    want = sketch_join._small_clusters(None, sets, 0.6)
+    got = sketch_join.verify_sets(np.arange(len(sets)), sets, 0.6)
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(zip(*(x.tolist() for x in want), strict=True)) and len(want[0]) > 300
+
+
 def test_hamming_distance_bounds_the_difference():
     rng = np.random.default_rng(2)
     for _ in range(20):
