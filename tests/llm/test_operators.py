@@ -82,6 +82,12 @@ def test_lm_scores(docs, texts, order):
     assert all(math.isclose(shuffled[k], r.log_prob, rel_tol=1e-9) for k, r in got.items() if r.log_prob is not None)
 
 
+def test_registered_lm_scores_have_trigram_contexts(spark, docs):
+    want = {r.doc_id: r.mean_log_prob for r in lm_bloom.score(docs, lm_bloom.fit(docs, 3)).collect()}
+    got = {r.doc_id: r.mean_log_prob for r in queries.op1_lm_scoring(spark, SF).collect()}
+    assert got.keys() == want.keys() and all(got[k] == want[k] or math.isclose(got[k], want[k]) for k in want)
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives():
     rng = np.random.default_rng(1)
     h = rng.integers(1, 1 << 63, 20_000).astype(np.uint64)
