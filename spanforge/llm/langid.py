@@ -85,11 +85,13 @@ class TextModel:
 
 
 def fit_text(docs: DataFrame, max_rows: int = MAX_ROWS, text: str = "text", lang: str = "lang", key: str = "doc_id") -> TextModel:
-    """Bigram models from about `max_rows` rows with a declared language, picked by the hash of their key."""
+    """Bigram models from about `max_rows` rows of each declared language, picked by the hash of their key; of a rarer language all rows."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.lower(F.col(lang).cast("string")).alias("lang"), F.col(text).alias("text"))
-    count = rows.count()
-    step = max(1, math.ceil(count / max_rows))
-    rows = rows.where(F.pmod(F.xxhash64("k"), F.lit(step)) == 0).select("lang", "text")
+    steps = {r["lang"]: math.ceil(r["count"] / max_rows) for r in rows.groupBy("lang").count().collect() if r["count"] > max_rows}
+    step = F.lit(1)
+    if steps:
+        step = F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(steps.items()) for x in pair])[F.col("lang")], step)
+    rows = rows.where(F.pmod(F.xxhash64("k"), step) == 0).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -361,6 +361,14 @@ def test_evidence_decides_short_texts(spark):
     assert not langid.identify_documents(junk, model).first().keep
 
 
+def test_a_rare_language_keeps_its_rows(spark):
+    rows = [(i, f"word number {i} of the common language", "en") for i in range(2_000)] + [(5_000, "der seltene satz", "de"), (5_001, "noch ein satz", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = langid.fit_text(docs, max_rows=20)
+    assert few.langs == ["de", "en", langid.UND]
+    assert (few.logp[0] == langid.fit_text(docs.where("lang = 'de'")).logp[0]).all()
+
+
 def test_page_parts():
     assert langid.page_parts("http://a.b.example.org/fr/1", '<html lang="FR-ca"><script>x</script><p>hi &amp; ho</p>')[:4] == ("a.b.example.org", "example.org", "fr", "fr")
     assert urlparse("http://a").hostname == langid.page_parts("http://a", None)[0]
