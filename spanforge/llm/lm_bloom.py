@@ -4,8 +4,11 @@ Word n-gram counts of the whole corpus are quantised to levels (level q stands f
 An n-gram of level q puts the keys (gram, 1) ... (gram, q) into a Bloom filter; its level is read back by probing
 j = 1, 2, ... until a key is absent. Scores interpolate the n-gram estimates recursively with add-one unigrams.
 
-The filter is cut into segments by gram hash, so each reducer writes its own segment and nothing is OR-ed. Up to
-`broadcast_limit` bytes it is broadcast; beyond, the probes are shuffled to the segments, with equal results.
+The filter grows with the corpus, so it has no bound under which it could be broadcast. It is cut into segments by gram
+hash instead, and there is one plan for all sizes: text is cut into stored blocks; a block sends its distinct grams (with
+their counts, to fit) to their segments as packed arrays; a segment builds or loads its filter, probes it once for each
+distinct gram and sends one byte per gram back; a block then looks up its positions in the levels that came back. Nothing travels
+per token, and a hot gram is one entry per block. Only a model's totals come to the driver.
 
 Defined results: null or blank text gives n_tokens 0 and null scores; text is read whole whatever its length; repeated
 rows count each time and each get their row; an empty table gives an empty result; other columns are ignored.
@@ -19,14 +22,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, arrow_batches, fresh_path, materialize, mix64, ngram_hashes
+from .common import Tokens, arrow_batches, fresh_path, materialize, mix64, ngram_hashes, release_memory
 
 U = np.uint64
 BITS_PER_KEY, PROBES = 10, 7
-SEGMENT_GRAMS = 1 << 20
+#: Grams (with one entry per block) that a segment holds on average, and bytes of text in a block.
+SEGMENT_GRAMS, BLOCK_BYTES = 1 << 21, 4 << 20
 
 
 def gram_levels(counts: np.ndarray, base: float) -> np.ndarray:
@@ -44,43 +51,6 @@ def level_count(levels: np.ndarray, base: float) -> np.ndarray:
     return np.where(levels > 0, (low + high) / 2, 0.0)
 
 
-def _signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
-
-
-def count_grams(docs: DataFrame, order: int, segments: int) -> DataFrame:
-    """(gram, n, k, seg): counts of all n-grams up to `order` in the corpus, as partial sums per map task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def merged():
-            h, k, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            u, at, back = np.unique(h, return_index=True, return_inverse=True)
-            return u, n[at], np.bincount(back, weights=k, minlength=len(u)).astype(np.int64)
-
-        def out():
-            u, n, k = merged()
-            for at in range(0, len(u), 500_000):
-                s = slice(at, at + 500_000)
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(u[s])), pa.array(n[s]), pa.array(k[s]), pa.array(segment_of(u[s], segments))], ["gram", "n", "k", "seg"])
-
-        for b in arrow_batches(batches):
-            t = Tokens(b.column(0))
-            for n in range(1, order + 1):
-                u, k = np.unique(ngram_hashes(t, n)[1], return_counts=True)
-                held.append((u, k, np.full(len(u), n, np.int32)))
-                size += len(u)
-            if size > 6_000_000:
-                yield from out()
-                held, size = [], 0
-        if size:
-            yield from out()
-
-    return docs.select("text").mapInArrow(run, "gram long, n int, k long, seg long")
-
-
 def _segment_bits(h: np.ndarray, q: np.ndarray) -> tuple[int, bytes]:
     keys = int(q.sum())
     m = max(64, -(-keys * BITS_PER_KEY // 64) * 64)
@@ -92,117 +62,208 @@ def _segment_bits(h: np.ndarray, q: np.ndarray) -> tuple[int, bytes]:
     return m, np.packbits(bits, bitorder="little").tobytes()
 
 
-def _probes(h: np.ndarray, level: int, m) -> Iterator[np.ndarray]:
+def _probes(h: np.ndarray, level: int, m: int) -> Iterator[np.ndarray]:
     a = mix64(h + U(level * 0x9E3779B97F4A7C15 % (1 << 64)))
     b = mix64(a) | U(1)
     for i in range(PROBES):
-        yield ((a + U(i) * b) >> U(1)) % (U(m) if np.isscalar(m) else m)
+        yield ((a + U(i) * b) >> U(1)) % U(m)
 
 
 class BloomTable:
-    """Segments laid end to end; reads levels for arrays of gram hashes."""
-
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray):
-        self.sizes = sizes.astype(np.uint64)
-        self.starts = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])[:-1].astype(np.uint64)
-        self.bits = bits
-
-    def has(self, h: np.ndarray, seg: np.ndarray, level: int) -> np.ndarray:
-        ok = np.ones(len(h), bool)
-        at = np.arange(len(h))
-        m, start = self.sizes[seg], self.starts[seg]
-        ok[m == 0] = False
-        at = at[m > 0]
+    """One segment of the filter: reads levels for arrays of gram hashes by repeated membership probes."""
+
+    def __init__(self, size: int, bits: np.ndarray):
+        self.size, self.bits = size, bits
+
+    def has(self, h: np.ndarray, level: int) -> np.ndarray:
+        ok = np.full(len(h), self.size > 0)
+        at = np.flatnonzero(ok)
         a = mix64(h[at] + U(level * 0x9E3779B97F4A7C15 % (1 << 64)))
         b = mix64(a) | U(1)
         for i in range(PROBES):
-            p = start[at] + ((a + U(i) * b) >> U(1)) % m[at]
+            p = ((a + U(i) * b) >> U(1)) % U(max(1, self.size))
             hit = (self.bits[(p >> U(3)).astype(np.int64)] >> (p & U(7)).astype(np.uint8)) & 1 > 0
             ok[at[~hit]] = False
             at, a, b = at[hit], a[hit], b[hit]
         return ok
 
-    def levels(self, h: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    def levels(self, h: np.ndarray) -> np.ndarray:
         q = np.zeros(len(h), np.int64)
-        at = np.arange(len(h))
-        level = 1
+        at, level = np.arange(len(h)), 1
         while len(at):
-            at = at[self.has(h[at], seg[at], level)]
+            at = at[self.has(h[at], level)]
             q[at] = level
             level += 1
         return q
 
 
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
-    return (mix64(h ^ U(0x5851F42D4C957F2D)) % U(segments)).astype(np.int64)
+    """By the hash's upper half, so that sorted grams are in order of their segments."""
+    return (((h >> U(32)) * U(segments)) >> U(32)).astype(np.int64)
 
 
-class Model:
-    """What a fitted filter is: the folder of segment files and a few totals."""
+def pack_sorted(a: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte by byte, compressed."""
+    d = np.diff(a, prepend=U(0))
+    return zstandard.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def position_grams(t: Tokens, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1 ... order: (positions, gram) of the n-grams that end at a token. The lowest bit tells single words from longer grams."""
+    inside = np.arange(len(t.ids)) - np.repeat(t.offsets[:-1], t.lengths)
+    out = []
+    for n in range(1, order + 1):
+        g = ngram_hashes(t, n)[1]
+        out.append((np.flatnonzero(inside >= n - 1), (g & ~U(1)) | U(n == 1)))
+    return out
+
+
+def text_blocks(docs: DataFrame, key: str) -> DataFrame:
+    """(p, block, data): the rows' keys and texts in blocks of about BLOCK_BYTES, stored, so that every later pass sees the same blocks."""
+    kind = docs.select(key).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, block, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def cut():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for b in held:
+                    w.write_batch(b)
+            return pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["p", "block", "data"])
 
-    def __init__(self, path, segments, sizes, order, base, tokens, vocabulary):
-        self.path, self.segments, self.sizes = path, segments, sizes
-        self.order, self.base, self.tokens, self.vocabulary = order, base, tokens, vocabulary
+        for b in arrow_batches(batches, BLOCK_BYTES):
+            if held and size + b.nbytes > BLOCK_BYTES:
+                yield cut()
+                block, held, size = block + 1, [], 0
+            held.append(b)
+            size += b.nbytes
+        if held:
+            yield cut()
 
-    @property
-    def nbytes(self) -> int:
-        return int(self.sizes.sum()) // 8
+    assert len(kind) == 1
+    return materialize(docs.select(key, "text").mapInArrow(run, "p long, block long, data binary"), "lmblocks")
 
-    def read(self, segs=None) -> BloomTable:
+
+def _opened(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+class Model:
+    """What a fitted filter is: the folder of segment files (none if the filter answered its own corpus only) and a few totals."""
+
+    def __init__(self, path: str | None, segments: int, order: int, base: float, tokens: int, vocabulary: int):
+        self.path, self.segments, self.order, self.base, self.tokens, self.vocabulary = path, segments, order, base, tokens, vocabulary
+
+    def read(self, segment: int) -> BloomTable:
         fs, root = pafs.FileSystem.from_uri(self.path)
-        sizes = self.sizes.copy()
-        if segs is not None:
-            sizes = np.where(np.isin(np.arange(self.segments), segs), sizes, 0)
-        bits = np.zeros(int(sizes.sum()) // 8, np.uint8)
-        at = 0
-        for s in np.flatnonzero(sizes):
-            with fs.open_input_stream(f"{root}/seg-{s:06d}.bits") as f:
-                bits[at : at + int(sizes[s]) // 8] = np.frombuffer(f.read(), np.uint8)
-            at += int(sizes[s]) // 8
-        return BloomTable(sizes, bits)
-
-
-def fit(docs: DataFrame, order: int = 2, base: float = 2.0) -> Model:
-    """Count, quantise and store the n-grams of `docs`. The segment count follows the number of distinct grams."""
-    spark = docs.sparkSession
-    path = fresh_path(spark, "lmbloom")
+        name = f"{root}/seg-{segment:06d}.bits"
+        if fs.get_file_info(name).type == pafs.FileType.NotFound:
+            return BloomTable(0, np.zeros(1, np.uint8))
+        with fs.open_input_stream(name) as f:
+            bits = np.frombuffer(f.read(), np.uint8)
+        return BloomTable(len(bits) * 8, bits)
+
+
+def questions(blocks: DataFrame, order: int, segments: int) -> DataFrame:
+    """(seg, p, block, grams, counts): each block's distinct grams by segment, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                t = Tokens(_opened(data.as_buffer()).column("text"))
+                u, k = np.unique(np.concatenate([g for _, g in position_grams(t, order)]), return_counts=True)
+                cuts = np.searchsorted(segment_of(u, segments), np.arange(segments + 1)) if len(u) else np.zeros(segments + 1, np.int64)
+                seg = np.flatnonzero(np.diff(cuts))
+                grams = [pack_sorted(u[cuts[s] : cuts[s + 1]]) for s in seg]
+                counts = [zstandard.compress(k[cuts[s] : cuts[s + 1]].astype(np.int32).tobytes(), 1) for s in seg]
+                n = len(seg)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seg), pa.array(np.full(n, p, np.int64)), pa.array(np.full(n, block, np.int64)), pa.array(grams, pa.binary()), pa.array(counts, pa.binary())],
+                    ["seg", "p", "block", "grams", "counts"],
+                )
+                release_memory()
+
+    return blocks.mapInArrow(run, "seg long, p long, block long, grams binary, counts binary")
+
+
+_ANSWER = "p long, block long, seg long, levels binary, tokens long, words long"
+
+
+def answers(asked: DataFrame, segments: int, base: float, store: str | None = None, model: Model | None = None) -> DataFrame:
+    """Segments at work: each builds its filter from the counts it gets (or loads that of `model`), stores it under `store` if wanted,
+    and answers every block with levels in the order of its grams. A segment's totals are in the first of its rows."""
+
+    def segment(s, held):
+        u = np.sort(np.concatenate([x[2] for x in held]))
+        u = u[np.r_[True, u[1:] != u[:-1]]]
+        tokens = words = 0
+        if model:
+            table = model.read(s)
+        else:
+            k = np.zeros(len(u), np.int64)
+            for _, _, g, c in held:
+                k[np.searchsorted(u, g)] += np.frombuffer(zstandard.decompress(c), np.int32)
+            size, data = _segment_bits(u, gram_levels(k, base))
+            table, one = BloomTable(size, np.frombuffer(data, np.uint8)), u & U(1) > 0
+            tokens, words = int(k[one].sum()), int(one.sum())
+            if store:
+                # equal input gives equal bytes, so a task that runs again only rewrites the same file
+                fs, root = pafs.FileSystem.from_uri(store)
+                tmp = f"{root}/.{s}-{np.random.default_rng().integers(1 << 62)}"
+                with fs.open_output_stream(tmp) as f:
+                    f.write(data)
+                fs.move(tmp, f"{root}/seg-{s:06d}.bits")
+        level = table.levels(u).astype(np.uint8)
+        for i, (p, block, g, _) in enumerate(held):
+            yield p, block, s, zstandard.compress(level[np.searchsorted(u, g)].tobytes(), 1), tokens * (i == 0), words * (i == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done():
+            rows = list(segment(now, held))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["p", "block", "seg", "levels", "tokens", "words"])
+
+        for b in batches:
+            for s, p, block, grams, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if s != now:
+                    if held:
+                        yield done()
+                    now, held = s, []
+                held.append((p, block, unpack_sorted(grams), counts))
+        if held:
+            yield done()
+        release_memory()
+
+    return asked.repartition(segments, "seg").sortWithinPartitions("seg").mapInArrow(run, _ANSWER)
+
+
+def _segment_count(docs: DataFrame, order: int) -> int:
+    chars = docs.select(F.sum(F.length("text")).alias("c")).first().c or 0
+    return max(4, math.ceil(chars * order / 6 / SEGMENT_GRAMS))
+
+
+def _store(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    path = fresh_path(df.sparkSession, name)
+    df.repartition("p").write.partitionBy("p").parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fit(docs: DataFrame, order: int = 3, base: float = 2.0) -> Model:
+    """Count, quantise and store the n-grams of `docs`. The segment count follows the size of the text."""
+    segments, path = _segment_count(docs, order), fresh_path(docs.sparkSession, "lmbloom")
     fs, root = pafs.FileSystem.from_uri(path)
     fs.create_dir(root, recursive=True)
-    chars = docs.select(F.sum(F.length("text")).alias("c")).first().c or 0
-    segments = max(4, math.ceil(chars * order / 8 / SEGMENT_GRAMS))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
-        if not got:
-            return
-        h, n, k = (np.concatenate(x) for x in zip(*got, strict=True))
-        got.clear()
-        u, at, back = np.unique(h, return_index=True, return_inverse=True)
-        n, k = n[at], np.bincount(back, weights=k, minlength=len(u)).astype(np.int64)
-        q = gram_levels(k, base)
-        seg = segment_of(u, segments)
-        order_ = np.argsort(seg, kind="stable")
-        cuts = np.flatnonzero(np.diff(seg[order_], prepend=-1))
-        out_fs, out_root = pafs.FileSystem.from_uri(path)
-        rows = []
-        for i, start in enumerate(cuts):
-            pick = order_[start : cuts[i + 1] if i + 1 < len(cuts) else len(order_)]
-            s = int(seg[pick[0]])
-            m, data = _segment_bits(u[pick], q[pick])
-            # equal input gives equal bytes, so a task that runs again only rewrites the same file
-            tmp = f"{out_root}/.{s}-{np.random.default_rng().integers(1 << 62)}"
-            with out_fs.open_output_stream(tmp) as f:
-                f.write(data)
-            out_fs.move(tmp, f"{out_root}/seg-{s:06d}.bits")
-            one = n[pick] == 1
-            rows.append((s, m, int(k[pick][one].sum()), int(one.sum())))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["seg", "m", "tokens", "words"])
-
-    sent = count_grams(docs, order, segments).repartition(segments, "seg")
-    stats = sent.drop("seg").mapInArrow(build, "seg long, m long, tokens long, words long").toPandas()
-    sizes = np.zeros(segments, np.int64)
-    sizes[stats.seg.to_numpy(np.int64)] = stats.m
-    return Model(path, segments, sizes, order, base, int(stats.tokens.sum()), int(stats.words.sum()))
+    asked = questions(text_blocks(docs.select("text", F.lit(0).alias("__key")), "__key"), order, segments)
+    total = answers(asked, segments, base, store=path).agg(F.sum("tokens").alias("t"), F.sum("words").alias("w")).first()
+    return Model(path, segments, order, base, total.t or 0, total.w or 0)
 
 
 def _smoothed(levels: list[np.ndarray], base: float, tokens: int, vocabulary: int, mix: float) -> np.ndarray:
@@ -215,96 +276,62 @@ def _smoothed(levels: list[np.ndarray], base: float, tokens: int, vocabulary: in
     return np.log(p)
 
 
-def _needs(t: Tokens, order: int) -> list[np.ndarray]:
-    """Gram hashes per token position, as _smoothed wants their levels; 0 where a row has no such history."""
-    inside = np.arange(len(t.ids)) - np.repeat(t.offsets[:-1], t.lengths)
-    grams = []
-    for n in range(1, order + 1):
-        g = np.zeros(len(t.ids), np.uint64)
-        if n == 1 or (t.lengths >= n).any():
-            g[inside >= n - 1] = ngram_hashes(t, n)[1]
-        grams.append(g)
-    out = [grams[0]]
-    for n in range(2, order + 1):
-        history = np.zeros_like(grams[0])
-        history[1:] = grams[n - 2][:-1]
-        history[inside < n - 1] = 0
-        out += [grams[n - 1], history]
-    return out
+def _score_blocks(blocks: DataFrame, path: str, model: Model, key: str, kind: str, mix: float) -> DataFrame:
+    order, base, tokens, vocabulary = model.order, model.base, model.tokens, model.vocabulary
 
+    def load(p: int) -> dict[int, np.ndarray]:
+        fs, root = pafs.FileSystem.from_uri(path)
+        files = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/p={p}", allow_not_found=True)) if f.path.endswith(".parquet")]
+        parts: dict[int, list] = {}
+        for name in files:
+            with fs.open_input_file(name) as f:
+                got = pq.read_table(f, columns=["block", "seg", "levels"])
+            for block, s, data in zip(*(got.column(c).to_pylist() for c in ("block", "seg", "levels")), strict=True):
+                parts.setdefault(block, []).append((s, data))
+        return parts
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", mix: float = 0.7, broadcast_limit: int = 128 << 20) -> DataFrame:
-    """(key, n_tokens, log_prob, mean_log_prob) for each row of `docs`."""
-    spark = docs.sparkSession
-    order, base, tokens, vocabulary, segments = model.order, model.base, model.tokens, model.vocabulary, model.segments
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_tokens long, log_prob double, mean_log_prob double"
-    if model.nbytes > broadcast_limit:
-        return _score_shuffled(docs, model, key, mix)
-    held = spark.sparkContext.broadcast(model.read())
-
-    def run(batches):
-        for b in arrow_batches(batches):
-            t = Tokens(b.column(1))
-            found = []
-            for g in _needs(t, order):
-                u, back = np.unique(g, return_inverse=True)
-                q = np.zeros(len(u), np.int64)
-                real = u != 0
-                q[real] = held.value.levels(u[real], segment_of(u[real], segments))
-                found.append(q[back])
-            lp = _smoothed(found, base, tokens, vocabulary, mix)
-            total = np.bincount(t.rows, weights=lp, minlength=b.num_rows)
-            empty = t.lengths == 0
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(t.lengths), pa.array(total, mask=empty), pa.array(total / np.maximum(t.lengths, 1), mask=empty)],
-                [key, "n_tokens", "log_prob", "mean_log_prob"],
-            )
-
-    return docs.select(key, "text").mapInArrow(run, schema)
-
-
-def _score_shuffled(docs: DataFrame, model: Model, key: str, mix: float) -> DataFrame:
-    """The same scores with the filter left where it is: distinct grams go to their segments, levels come back."""
-    order, base, tokens, vocabulary, segments = model.order, model.base, model.tokens, model.vocabulary, model.segments
-    rowed = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), key, "text"), "lmrows")
-    width = 2 * order - 1
-
-    def needs(batches):
-        for b in arrow_batches(batches):
-            t = Tokens(b.column(1))
-            rid = b.column(0).to_numpy()
-            for part, g in enumerate(_needs(t, order)):
-                n = len(g)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, {}
+        for b in batches:
+            for p, block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if p != now:
+                    now, parts = p, load(p)
+                rows = _opened(data.as_buffer())
+                t = Tokens(rows.column("text"))
+                level = np.frombuffer(b"".join(zstandard.decompress(x) for _, x in sorted(parts.get(block, []))), np.uint8)
+                grams = position_grams(t, order)
+                u, back = np.unique(np.concatenate([g for _, g in grams]), return_inverse=True)
+                if len(u) != len(level):
+                    raise RuntimeError(f"block {p}/{block} asked for {len(u)} grams and got {len(level)} levels")
+                back, at, q = level[back].astype(np.int64), 0, []
+                for where, g in grams:
+                    full = np.zeros(len(t.ids), np.int64)
+                    full[where] = back[at : at + len(g)]
+                    at += len(g)
+                    q.append(full)
+                levels = [q[0]]
+                for n in range(1, order):
+                    history = np.zeros_like(q[0])
+                    history[grams[n][0]] = q[n - 1][grams[n][0] - 1]
+                    levels += [q[n], history]
+                total = np.bincount(t.rows, weights=_smoothed(levels, base, tokens, vocabulary, mix), minlength=rows.num_rows)
+                empty = t.lengths == 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(g)), pa.array(segment_of(g, segments)), pa.array(rid[t.rows]), pa.array(np.arange(n) - np.repeat(t.offsets[:-1], t.lengths)), pa.array(np.full(n, part, np.int32))],
-                    ["gram", "seg", "rid", "pos", "part"],
+                    [rows.column(key).combine_chunks(), pa.array(t.lengths), pa.array(total, mask=empty), pa.array(total / np.maximum(t.lengths, 1), mask=empty)],
+                    [key, "n_tokens", "log_prob", "mean_log_prob"],
                 )
+                release_memory()
+
+    return blocks.mapInArrow(run, f"`{key}` {kind}, n_tokens long, log_prob double, mean_log_prob double")
 
-    def probe(batches):
-        held, table_ = None, None
-        for b in batches:
-            g, seg = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
-            q = np.zeros(len(g), np.int64)
-            for s in np.unique(seg):
-                if s != held:
-                    held, table_ = s, model.read([s])
-                pick = np.flatnonzero((seg == s) & (g != 0))
-                u, back = np.unique(g[pick], return_inverse=True)
-                q[pick] = table_.levels(u, np.full(len(u), s))[back]
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), b.column(4), pa.array(q)], ["rid", "pos", "part", "q"])
-
-    asked = rowed.select("rid", "text").mapInArrow(needs, "gram long, seg long, rid long, pos long, part int")
-    levels = asked.repartition("seg").sortWithinPartitions("seg").mapInArrow(probe, "rid long, pos long, part int, q long")
-
-    wide = levels.groupBy("rid", "pos").agg(*[F.max(F.when(F.col("part") == i, F.col("q"))).alias(f"q{i}") for i in range(width)])
-
-    def logs(batches):
-        for b in batches:
-            qs = [b.column(1 + i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(width)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_smoothed(qs, base, tokens, vocabulary, mix))], ["rid", "lp"])
 
-    sums = wide.select("rid", *[f"q{i}" for i in range(width)]).mapInArrow(logs, "rid long, lp double").groupBy("rid").agg(F.count("*").alias("n"), F.sum("lp").alias("s"))
-    return rowed.select("rid", key).join(sums, "rid", "left").select(
-        key, F.coalesce("n", F.lit(0).cast("long")).alias("n_tokens"), F.col("s").alias("log_prob"), (F.col("s") / F.col("n")).alias("mean_log_prob")
-    )
+def score(docs: DataFrame, model: Model | None = None, key: str = "doc_id", order: int = 3, base: float = 2.0, mix: float = 0.7) -> DataFrame:
+    """(key, n_tokens, log_prob, mean_log_prob) for each row of `docs`: under `model`, or, without one, under a model of `docs`
+    themselves, whose segments answer in the pass that builds them."""
+    blocks = text_blocks(docs, key)
+    segments = model.segments if model else _segment_count(docs, order)
+    path, got = _store(answers(questions(blocks, model.order if model else order, segments), segments, base, model=model), "lmlevels")
+    if model is None:
+        total = got.agg(F.sum("tokens").alias("t"), F.sum("words").alias("w")).first()
+        model = Model(None, segments, order, base, total.t or 0, total.w or 0)
+    return _score_blocks(blocks, path, model, key, docs.schema[key].dataType.simpleString(), mix)

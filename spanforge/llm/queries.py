@@ -9,8 +9,7 @@ from .common import table
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm_bloom.score(docs, lm_bloom.fit(docs, order=3))
+    return lm_bloom.score(table(spark, sf_dir, "documents"), order=3)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,8 +41,8 @@ def labels(spark):
 
 
 OPERATORS = {
-    "lm": lambda d, labels: lm_bloom.score(d, lm_bloom.fit(d)),
-    "lm_shuffled": lambda d, labels: lm_bloom.score(d, lm_bloom.fit(d), broadcast_limit=0),
+    "lm": lambda d, labels: lm_bloom.score(d),
+    "lm_stored": lambda d, labels: lm_bloom.score(d, lm_bloom.fit(d)),
     "sharding": lambda d, labels: maglev.place(d),
     "tokens": lambda d, labels: token_count.count_tokens(d),
     "rules": lambda d, labels: divergence.judge(d),

@@ -69,35 +69,53 @@ def brute_scores(corpus, order, base, mix):
     return out
 
 
-@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3])
 def test_lm_scores(docs, texts, order):
     want = brute_scores({k: words(t) for k, t in texts.items()}, order, 2.0, 0.7)
-    model = lm_bloom.fit(docs, order)
-    got = {r.doc_id: r for r in lm_bloom.score(docs, model).collect()}
+    got = {r.doc_id: r for r in lm_bloom.score(docs, order=order).collect()}
     assert {k: r.n_tokens for k, r in got.items()} == {k: v[0] for k, v in want.items()}
     # the filter errs upwards on a few grams in a hundred at most
     off = [abs(got[k].log_prob - s) / max(1.0, abs(s)) for k, (_, s) in want.items() if s is not None]
     assert np.mean(off) < 0.02
-    shuffled = {r.doc_id: r.log_prob for r in lm_bloom.score(docs, model, broadcast_limit=0).collect()}
-    assert all(math.isclose(shuffled[k], r.log_prob, rel_tol=1e-9) for k, r in got.items() if r.log_prob is not None)
+    stored = {r.doc_id: r.log_prob for r in lm_bloom.score(docs, lm_bloom.fit(docs, order)).collect()}
+    assert all(math.isclose(stored[k], r.log_prob, rel_tol=1e-9) for k, r in got.items() if r.log_prob is not None)
+
+
+def test_lm_scores_of_other_texts_and_in_many_blocks(spark, docs, texts, monkeypatch):
+    some = docs.where("doc_id % 3 <> 0")
+    model = lm_bloom.fit(some, 2)
+    corpus = {k: words(t) for k, t in texts.items()}
+    counts = [Counter(tuple(ws[i : i + n]) for k, ws in corpus.items() if k % 3 for i in range(len(ws) - n + 1)) for n in (1, 2)]
+    assert (model.tokens, model.vocabulary) == (sum(counts[0].values()), len(counts[0]))
+    one = {r.doc_id: r.log_prob for r in lm_bloom.score(docs, model).collect()}
+    monkeypatch.setattr(lm_bloom, "BLOCK_BYTES", 20_000)
+    many = {r.doc_id: r.log_prob for r in lm_bloom.score(docs, model).collect()}
+    assert one.keys() == many.keys() == texts.keys()
+    assert all(one[k] is many[k] or math.isclose(one[k], many[k], rel_tol=1e-9) for k in one)
 
 
 def test_registered_lm_scores_have_trigram_contexts(spark, docs):
-    want = {r.doc_id: r.mean_log_prob for r in lm_bloom.score(docs, lm_bloom.fit(docs, 3)).collect()}
+    want = {r.doc_id: r.mean_log_prob for r in lm_bloom.score(docs, order=3).collect()}
     got = {r.doc_id: r.mean_log_prob for r in queries.op1_lm_scoring(spark, SF).collect()}
     assert got.keys() == want.keys() and all(got[k] == want[k] or math.isclose(got[k], want[k]) for k in want)
 
 
+def test_packed_arrays_and_segments():
+    h = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    assert (lm_bloom.unpack_sorted(lm_bloom.pack_sorted(h)) == h).all()
+    seg = lm_bloom.segment_of(h, 37)
+    assert (np.diff(seg) >= 0).all() and seg.min() == 0 and seg.max() == 36
+
+
 def test_filter_has_no_false_negatives_and_few_false_positives():
     rng = np.random.default_rng(1)
     h = rng.integers(1, 1 << 63, 20_000).astype(np.uint64)
     q = rng.integers(1, 4, len(h))
     m, data = lm_bloom._segment_bits(h, q)
-    t = lm_bloom.BloomTable(np.array([m]), np.frombuffer(data, np.uint8))
-    seg = np.zeros(len(h), np.int64)
-    assert (t.levels(h, seg) >= q).all() and (t.levels(h, seg) > q).mean() < 0.02
+    t = lm_bloom.BloomTable(m, np.frombuffer(data, np.uint8))
+    assert (t.levels(h) >= q).all() and (t.levels(h) > q).mean() < 0.02
     other = rng.integers(1, 1 << 63, 20_000).astype(np.uint64)
-    assert (t.levels(other, seg) > 0).mean() < 0.02
+    assert (t.levels(other) > 0).mean() < 0.02
 
 
 # ---- 2 sharding
