@@ -17,7 +17,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch_join.near_pairs(table(spark, sf_dir, "documents"))
+    return sketch_join.near_links(table(spark, sf_dir, "documents"))
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

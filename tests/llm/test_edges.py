@@ -79,12 +79,15 @@ def test_classifier_without_labels_or_with_one_class(spark, docs, labels):
 
 
 def test_near_copies(docs, empty):
-    got = {(r.doc_a, r.doc_b) for r in sketch_join.near_pairs(docs).collect()}
-    assert got == {(4, 5), (6, 7)}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in sketch_join.near_links(docs).collect()}
+    assert got == {1: (1, 0), 2: (2, 0), 3: (3, 0), 4: (4, 1), 5: (4, 1), 6: (6, 1), 7: (6, 1), 8: (8, 0), 9: (9, 0)}
+    two = docs.select("doc_id", "text").where("doc_id = 7").union(docs.select(F.lit(7), F.lit(LONG)).limit(1)).union(docs.select("doc_id", "text").where("doc_id in (4, 6)"))
+    assert {r.doc_id: (r.class_id, r.n_links) for r in sketch_join.near_links(two).collect()} == {4: (4, 1), 6: (6, 1), 7: (4, 2)}
+    assert {r.doc_id for r in sketch_join.drop_near_copies(two).collect()} == {4, 6}
     kept = sketch_join.drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 6, 6, 8, 9]
-    assert sketch_join.near_pairs(empty).collect() == [] and sketch_join.drop_near_copies(empty).collect() == []
+    assert sketch_join.near_links(empty).collect() == [] and sketch_join.drop_near_copies(empty).collect() == []
 
 
 def test_stages_keep_columns(docs, empty):

@@ -162,32 +162,53 @@ def brute_pairs(texts, n=2, threshold=sketch_join.THRESHOLD):
     return out
 
 
-def test_near_pairs(docs, texts):
-    want = brute_pairs(texts)
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in sketch_join.near_pairs(docs).collect()}
-    assert not set(got) - set(want)
-    assert len(set(got) & set(want)) >= 0.9 * len(want) and want
-    assert all(math.isclose(got[p], want[p]) for p in got)
+def brute_links(texts):
+    """doc_id: (class_id, n_links)."""
+    group, links = {k: k for k in texts}, dict.fromkeys(texts, 0)
 
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
 
-def test_near_pairs_among_edited_copies(spark):
+    for a, b in brute_pairs(texts):
+        links[a] += 1
+        links[b] += 1
+        a, b = sorted((find(a), find(b)))
+        group[b] = a
+    return {k: (find(k), links[k]) for k in texts}
+
+
+def near_links(df):
+    return {r.doc_id: (r.class_id, r.n_links) for r in sketch_join.near_links(df).collect()}
+
+
+def test_near_links(docs, texts):
+    want = brute_links(texts)
+    assert near_links(docs) == want and sum(v[1] > 0 for v in want.values()) > 20
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_near_links_among_edited_copies(spark, monkeypatch, block):
+    """Every link and class of small and large groups, in blocks of any size, with salted runs."""
+    monkeypatch.setattr(sketch_join, "BLOCK", block)
+    if block == 7:
+        monkeypatch.setattr(sketch_join, "HOT_RUN", 3)
     rng = np.random.default_rng(5)
     rows, vocabulary = [], [f"w{i}" for i in range(30_000)]
     for g in range(60):
-        base = rng.choice(vocabulary, rng.integers(15, 600))
-        for _ in range(4):
+        base = rng.choice(vocabulary, rng.integers(4, 600))
+        for _ in range(70 if g == 7 else 4):
             copy = base.copy()
             hit = rng.random(len(copy)) < rng.uniform(0, 0.1)
             copy[hit] = rng.choice(vocabulary, hit.sum())
             rows.append((len(rows), " ".join(copy)))
-    rows += [(len(rows) + i, rows[0][1]) for i in range(300)]
-    want = brute_pairs(dict(rows))
-    got = {(r.doc_a, r.doc_b) for r in sketch_join.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got <= set(want) and len(got) >= 0.9 * len(want)
+    rows += [(len(rows) + i, rows[0][1]) for i in range(100)]
+    assert near_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute_links(dict(rows))
 
 
 def test_a_group_that_makes_up_the_corpus(spark):
-    """All grams of a large group of near copies are common, and its members still meet."""
+    """All parts of a large group of near copies are common, and its members still meet."""
     rng = np.random.default_rng(9)
     base = np.array([f"g{i}" for i in range(200)])
     rows = []
@@ -195,70 +216,72 @@ def test_a_group_that_makes_up_the_corpus(spark):
         copy = base.copy()
         copy[rng.integers(0, 200, 6)] = [f"x{i}-{j}" for j in range(6)]
         rows.append((i, " ".join(copy)))
-    want = brute_pairs(dict(rows))
-    got = {(r.doc_a, r.doc_b) for r in sketch_join.near_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got <= set(want) and len(got) >= 0.9 * len(want) > 30_000
+    assert near_links(spark.createDataFrame(rows, "doc_id long, text string")) == brute_links(dict(rows))
+
+
+def test_passages_that_many_documents_share(spark):
+    """Texts that consist of shared passages for the most part link only where the whole of them is near."""
+    rng = np.random.default_rng(4)
+    passages = [" ".join(f"p{p}w{i}" for i in range(60)) for p in range(6)]
+    rows = []
+    for i in range(250):
+        own = " ".join(f"d{i}w{j}" for j in range(int(rng.integers(5, 120))))
+        rows.append((i, " ".join([passages[x] for x in rng.permutation(6)[: rng.integers(1, 4)]] + [own])))
+    assert near_links(spark.createDataFrame(rows, "doc_id long, text string")) == brute_links(dict(rows))
 
 
-@pytest.mark.parametrize("common", [0.1, 0.2, 0.3])
-def test_candidates_at_all_sizes_of_a_band(spark, common):
-    """Pairs just over the threshold stay candidates at the bottom of a band too, and where many grams are common."""
+@pytest.mark.parametrize("common", [0, 0.3])
+def test_no_pair_is_lost_at_any_size_of_a_band(spark, common):
+    """Pairs just over the threshold stay candidates at the bottom of a band too, where sizes differ, and where many grams are common."""
     rng, rows, cases = np.random.default_rng(13), [], {}
-    for size in (25, 60, 70, 80, 110, 166, 190, 215, 300, 460, 600, 900, 1280, 1650):
-        for j in (0.61, 0.65, 0.69):
-            sets, rare, shared = [], [], math.ceil(2 * size * j / (1 + j))
-            for _ in range(40):
-                pool = rng.integers(1, 1 << 62, 2 * size - shared, dtype=np.uint64)
-                kept = rng.random(len(pool)) >= common
-                for pick in (np.r_[:size], np.r_[:shared, size : len(pool)]):
-                    pick = pick[np.argsort(pool[pick])]
-                    sets.append(pool[pick])
-                    rare.append(kept[pick])
-            at, keys = sketch_join.part_keys(size * np.arange(len(sets) + 1), np.concatenate(sets), np.concatenate(rare), 0.6)
-            first = len(rows)
-            rows += [(first + i, size, keys[at == i].view(np.int64).tolist()) for i in range(len(sets))]
-            cases[size, j] = {(first + i, first + i + 1) for i in range(0, len(sets), 2)}
-    got = {(r.a, r.b) for r in sketch_join.candidates(spark.createDataFrame(rows, "node long, size int, keys array<long>"), 0.6).collect()}
-    recall = {k: len(v & got) / len(v) for k, v in cases.items()}
-    assert min(recall.values()) >= 0.9 and np.mean(list(recall.values())) > 0.99, recall
-
-
-def test_members_of_large_runs_meet(spark):
-    """Two long documents whose equal parts are all in large runs, each with other outsiders, still meet in one cluster."""
-    runs, outsiders = 20, 2 * sketch_join.STAR
-    rows = [(x, 460, list(range(runs))) for x in (10**9, 10**9 + 1)]
-    rows += [(1 + r * outsiders + i, 460, [r]) for r in range(runs) for i in range(outsiders)]
-    links = sketch_join.candidates(spark.createDataFrame(rows, "node long, size int, keys array<long>"), 0.6)
-    assert links.count() == runs * (outsiders + 1)
-    assert {(r.node, r.comp) for r in sketch_join.components(links).collect()} == {(r[0], 1) for r in rows}
-
-
-def test_large_clusters_of_mixed_sizes_are_verified_whole():
+    often = rng.integers(1, 1 << 62, 200, dtype=np.uint64)
+    for size in (3, 8, 25, 60, 110, 190, 300, 460, 900, 1650):
+        for ratio in (1.0, 0.8, 0.61):
+            small = max(1, round(size * ratio))
+            shared = math.ceil(0.6 / 1.6 * (size + small))
+            if shared > small:
+                continue
+            sets = []
+            for _ in range(30):
+                pool = np.unique(np.r_[rng.choice(often, min(150, int(common * shared)), replace=False), rng.integers(1, 1 << 62, 3 * size, dtype=np.uint64)])
+                pool = rng.permutation(pool)
+                pool = np.r_[pool[np.isin(pool, often)], pool[~np.isin(pool, often)]]
+                sets += [np.sort(pool[:size]), np.sort(np.r_[pool[:shared], pool[size : size + small - shared]])]
+            offsets, flat = np.cumsum([0] + [len(x) for x in sets]), np.concatenate(sets)
+            at, role, keys = sketch_join.part_keys(offsets, flat, 0.6)
+            bits, first = sketch_join.bit_sketches(offsets, flat), len(rows)
+            rows += [(first + i, len(x), int(((at == i) & (role == 0)).sum()), keys[at == i].view(np.int64).tolist(), bits[i]) for i, x in enumerate(sets)]
+            cases[size, ratio] = {(first + i, first + i + 1) for i in range(0, len(sets), 2)}
+    sk = spark.createDataFrame(rows, "node long, size int, n_own int, keys array<long>, bits binary").cache()
+    comp = {r.node: r.comp for r in sketch_join.components(sketch_join.candidates(sk, 0.6)).collect()}
+    lost = {k: n for k, v in cases.items() if (n := sum(a not in comp or comp[a] != comp.get(b) for a, b in v))}
+    assert not lost
+
+
+def test_linked_pairs_of_sets():
     rng, sets = np.random.default_rng(17), []
-    for size in rng.integers(5, 120, 300):
+    for size in rng.integers(5, 120, 100):
         base = rng.integers(1, 5_000, size).astype(np.uint64)
         for _ in range(4):
             sets.append(np.unique(base[rng.random(size) < rng.uniform(0.7, 1)]))
     sets = [sets[x] for x in rng.permutation(len(sets)) if len(sets[x])]
-    want = sketch_join._small_clusters(None, sets, 0.6)
-    got = sketch_join.verify_sets(np.arange(len(sets)), sets, 0.6)
-    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(zip(*(x.tolist() for x in want), strict=True)) and len(want[0]) > 300
+    want = {(i, j) for i, j in combinations(range(len(sets)), 2) if len(set(sets[i]) & set(sets[j])) >= 0.6 * len(set(sets[i]) | set(sets[j]))}
+    assert set(zip(*(x.tolist() for x in sketch_join.linked(sets, None, 0.6)), strict=True)) == want and len(want) > 100
+    a, b = sets[:150], sets[150:]
+    assert set(zip(*(x.tolist() for x in sketch_join.linked(a, b, 0.6)), strict=True)) == {(i, j - 150) for i, j in want if i < 150 <= j}
+    few = {(i, j) for i, j in want if j < 10}
+    assert set(zip(*(x.tolist() for x in sketch_join.linked(sets[:10], None, 0.6)), strict=True)) == few
+    assert sketch_join._roots(7, np.array([5, 4, 1]), np.array([6, 5, 2])).tolist() == [0, 1, 1, 3, 4, 4, 4]
 
 
 def test_hamming_distance_bounds_the_difference():
     rng = np.random.default_rng(2)
-    for _ in range(20):
-        a, b = (rng.integers(1, 1 << 62, 200).astype(np.uint64) for _ in range(2))
-        b = np.unique(np.concatenate([a[:150], b[150:]]))
-        a = np.unique(a)
-        parts, _, _ = sketch_join.band_plan(int(sketch_join.band_of(np.array([200]), 0.6)[0]), 0.6)
-
-        def sketch(g, parts=parts):
-            out = np.zeros(parts, np.uint64)
-            np.bitwise_xor.at(out, (sketch_join.mix64(g ^ np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(int), sketch_join.mix64(g + np.uint64(3)))
-            return out
-
-        assert (sketch(a) != sketch(b)).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+    for size in (10, 70, 200, 1000):
+        a = np.unique(rng.integers(1, 1 << 62, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: size // 2], rng.integers(1, 1 << 62, size).astype(np.uint64)]))
+        x, y = sketch_join.bit_sketches(np.array([0, len(a), len(a) + len(b)]), np.concatenate([a, b]))
+        off = len(set(a.tolist()) ^ set(b.tolist()))
+        assert 0.3 * off < sketch_join.hamming(x, y) <= off and sketch_join.hamming(x, x) == 0
 
 
 def test_components(spark):
