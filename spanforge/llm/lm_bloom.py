@@ -32,8 +32,8 @@ from .common import Tokens, arrow_batches, fresh_path, materialize, mix64, ngram
 
 U = np.uint64
 BITS_PER_KEY, PROBES = 10, 7
-#: Grams (with one entry per block) that a segment holds on average, and bytes of text in a block.
-SEGMENT_GRAMS, BLOCK_BYTES = 1 << 21, 4 << 20
+#: Grams (with one entry per block) that a segment holds on average, bytes of text in a block, and in the slices of a block that are tokenised at once.
+SEGMENT_GRAMS, BLOCK_BYTES, SLICE_BYTES = 1 << 21, 16 << 20, 4 << 20
 
 
 def gram_levels(counts: np.ndarray, base: float) -> np.ndarray:
@@ -137,7 +137,7 @@ def text_blocks(docs: DataFrame, key: str) -> DataFrame:
                     w.write_batch(b)
             return pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["p", "block", "data"])
 
-        for b in arrow_batches(batches, BLOCK_BYTES):
+        for b in arrow_batches(batches, SLICE_BYTES):
             if held and size + b.nbytes > BLOCK_BYTES:
                 yield cut()
                 block, held, size = block + 1, [], 0
@@ -150,8 +150,19 @@ def text_blocks(docs: DataFrame, key: str) -> DataFrame:
     return materialize(docs.select(key, "text").mapInArrow(run, "p long, block long, data binary"), "lmblocks")
 
 
-def _opened(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(data).read_all()
+def _slices(data: pa.BinaryScalar) -> Iterator[pa.RecordBatch]:
+    yield from pa.ipc.open_stream(data.as_buffer())
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes with their counts, of several such pairs."""
+    if len(parts) == 1:
+        return parts[0]
+    u = np.unique(np.concatenate([x for x, _ in parts]))
+    k = np.zeros(len(u), np.int64)
+    for x, n in parts:
+        k[np.searchsorted(u, x)] += n
+    return u, k
 
 
 class Model:
@@ -176,8 +187,8 @@ def questions(blocks: DataFrame, order: int, segments: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p, block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                t = Tokens(_opened(data.as_buffer()).column("text"))
-                u, k = np.unique(np.concatenate([g for _, g in position_grams(t, order)]), return_counts=True)
+                parts = [np.unique(np.concatenate([g for _, g in position_grams(Tokens(x.column("text")), order)]), return_counts=True) for x in _slices(data)]
+                u, k = _merged(parts)
                 cuts = np.searchsorted(segment_of(u, segments), np.arange(segments + 1)) if len(u) else np.zeros(segments + 1, np.int64)
                 seg = np.flatnonzero(np.diff(cuts))
                 grams = [pack_sorted(u[cuts[s] : cuts[s + 1]]) for s in seg]
@@ -296,30 +307,34 @@ def _score_blocks(blocks: DataFrame, path: str, model: Model, key: str, kind: st
             for p, block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 if p != now:
                     now, parts = p, load(p)
-                rows = _opened(data.as_buffer())
-                t = Tokens(rows.column("text"))
                 level = np.frombuffer(b"".join(zstandard.decompress(x) for _, x in sorted(parts.get(block, []))), np.uint8)
-                grams = position_grams(t, order)
-                u, back = np.unique(np.concatenate([g for _, g in grams]), return_inverse=True)
+                slices = []
+                for rows in _slices(data):
+                    t = Tokens(rows.column("text"))
+                    grams = position_grams(t, order)
+                    own, back = np.unique(np.concatenate([g for _, g in grams]), return_inverse=True)
+                    slices.append((rows.column(key), t.rows, t.lengths, [w for w, _ in grams], own, back.astype(np.int32)))
+                u = slices[0][4] if len(slices) == 1 else np.unique(np.concatenate([x[4] for x in slices]))
                 if len(u) != len(level):
                     raise RuntimeError(f"block {p}/{block} asked for {len(u)} grams and got {len(level)} levels")
-                back, at, q = level[back].astype(np.int64), 0, []
-                for where, g in grams:
-                    full = np.zeros(len(t.ids), np.int64)
-                    full[where] = back[at : at + len(g)]
-                    at += len(g)
-                    q.append(full)
-                levels = [q[0]]
-                for n in range(1, order):
-                    history = np.zeros_like(q[0])
-                    history[grams[n][0]] = q[n - 1][grams[n][0] - 1]
-                    levels += [q[n], history]
-                total = np.bincount(t.rows, weights=_smoothed(levels, base, tokens, vocabulary, mix), minlength=rows.num_rows)
-                empty = t.lengths == 0
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(key).combine_chunks(), pa.array(t.lengths), pa.array(total, mask=empty), pa.array(total / np.maximum(t.lengths, 1), mask=empty)],
-                    [key, "n_tokens", "log_prob", "mean_log_prob"],
-                )
+                for keys, of_row, lengths, where, own, back in slices:
+                    got, at, q = level[np.searchsorted(u, own)][back].astype(np.int64), 0, []
+                    for w in where:
+                        full = np.zeros(len(of_row), np.int64)
+                        full[w] = got[at : at + len(w)]
+                        at += len(w)
+                        q.append(full)
+                    levels = [q[0]]
+                    for n in range(1, order):
+                        history = np.zeros_like(q[0])
+                        history[where[n]] = q[n - 1][where[n] - 1]
+                        levels += [q[n], history]
+                    total = np.bincount(of_row, weights=_smoothed(levels, base, tokens, vocabulary, mix), minlength=len(lengths))
+                    empty = lengths == 0
+                    yield pa.RecordBatch.from_arrays(
+                        [keys, pa.array(lengths), pa.array(total, mask=empty), pa.array(total / np.maximum(lengths, 1), mask=empty)],
+                        [key, "n_tokens", "log_prob", "mean_log_prob"],
+                    )
                 release_memory()
 
     return blocks.mapInArrow(run, f"`{key}` {kind}, n_tokens long, log_prob double, mean_log_prob double")

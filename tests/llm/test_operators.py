@@ -88,7 +88,8 @@ def test_lm_scores_of_other_texts_and_in_many_blocks(spark, docs, texts, monkeyp
     counts = [Counter(tuple(ws[i : i + n]) for k, ws in corpus.items() if k % 3 for i in range(len(ws) - n + 1)) for n in (1, 2)]
     assert (model.tokens, model.vocabulary) == (sum(counts[0].values()), len(counts[0]))
     one = {r.doc_id: r.log_prob for r in lm_bloom.score(docs, model).collect()}
-    monkeypatch.setattr(lm_bloom, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(lm_bloom, "BLOCK_BYTES", 60_000)
+    monkeypatch.setattr(lm_bloom, "SLICE_BYTES", 20_000)
     many = {r.doc_id: r.log_prob for r in lm_bloom.score(docs, model).collect()}
     assert one.keys() == many.keys() == texts.keys()
     assert all(one[k] is many[k] or math.isclose(one[k], many[k], rel_tol=1e-9) for k in one)
