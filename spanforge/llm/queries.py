@@ -94,16 +94,16 @@ s AS (
     CAST(SUM(n_tokens) OVER (PARTITION BY source) AS BIGINT) AS total FROM h),
 b AS (SELECT *, LEAST(start // {b}, GREATEST(1, (total + {b - 1}) // {b}) - 1) AS block FROM s),
 r AS (
-  SELECT source, GREATEST(1, (CAST(SUM(n_tokens) AS BIGINT) + {b - 1}) // {b}) AS n_blocks, GREATEST(1, CAST(FLOOR(POW(CAST(SUM(n_tokens) AS DOUBLE), {mixing.TEMPERATURE}) * 100) AS BIGINT)) AS w
+  SELECT source, GREATEST(1, (CAST(SUM(n_tokens) AS BIGINT) + {b - 1}) // {b}) AS n_blocks, GREATEST(1, CAST(FLOOR(POW(CAST(SUM(n_tokens) AS DOUBLE), {mixing.TEMPERATURE}) * 100) AS BIGINT)) AS raw
   FROM b GROUP BY source),
-f AS (SELECT CAST(SUM(w) AS BIGINT) AS w, CAST({mixing.STRETCH - 1} * SUM(n_blocks + {mixing.SPARE}) AS BIGINT) AS d FROM r),
-g AS (SELECT source, n_blocks, GREATEST(r.w, ((n_blocks + {mixing.SPARE}) * f.w + f.d - 1) // f.d) AS w FROM r, f),
-t AS (SELECT CAST(SUM(w) AS BIGINT) AS w FROM g),
+f AS (SELECT CAST(SUM(raw) AS HUGEINT) AS r, CAST(SUM(n_blocks + {mixing.SPARE}) AS HUGEINT) AS q FROM r),
+g AS (SELECT source, n_blocks, raw * f.q + (n_blocks + {mixing.SPARE}) * f.r AS w FROM r, f),
+t AS (SELECT CAST(SUM(w) AS HUGEINT) AS w FROM g),
 slots AS (SELECT MAX(((n_blocks + {mixing.SPARE}) * t.w + g.w - 1) // g.w) AS k FROM g, t),
 spans AS (
-  SELECT source, n_blocks, (CAST(upto - g.w AS HUGEINT) * 4294967296) // t.w AS lo, (CAST(upto AS HUGEINT) * 4294967296) // t.w AS hi
+  SELECT source, n_blocks, (CAST(upto - g.w AS HUGEINT) * {1 << mixing.POINT_BITS}) // t.w AS lo, (CAST(upto AS HUGEINT) * {1 << mixing.POINT_BITS}) // t.w AS hi
   FROM (SELECT *, SUM(w) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING) AS upto FROM g) g, t),
-points AS (SELECT range AS slot, ((range + 1) * {mixing.PHI32}) % 4294967296 AS u FROM slots, range(slots.k)),
+points AS (SELECT range AS slot, (CAST(range + 1 AS HUGEINT) * {mixing.PHI48}) % {1 << mixing.POINT_BITS} AS u FROM slots, range(CAST(slots.k AS BIGINT))),
 ranked AS (
   SELECT slot, source, n_blocks, ROW_NUMBER() OVER (PARTITION BY source ORDER BY slot) - 1 AS r
   FROM points JOIN spans ON u >= lo AND u < hi)

@@ -432,20 +432,22 @@ def brute_schedule(rows, block, weights=None, slots=None):
         for d in ids:
             held[source][min(at // block, n - 1)].append(d)
             at += tokens[source, d]
-    w = {s: int(weights[s] * 1_000_000) if weights else max(1, int(sum(tokens[s, d] for b in held[s] for d in b) ** mixing.TEMPERATURE * 100)) for s in held}
-    if weights is None:
-        d = (mixing.STRETCH - 1) * sum(len(b) + mixing.SPARE for b in held.values())
-        first = sum(w.values())
-        w = {s: max(w[s], -(-(len(held[s]) + mixing.SPARE) * first // d)) for s in w}
+    if weights:
+        w = {s: int(weights[s] / sum(weights.values()) * 10**15) for s in held}
+    else:
+        raw = {s: max(1, int(sum(tokens[s, d] for b in held[s] for d in b) ** mixing.TEMPERATURE * 100)) for s in held}
+        q = sum(len(b) + mixing.SPARE for b in held.values())
+        w = {s: raw[s] * q + (len(held[s]) + mixing.SPARE) * sum(raw.values()) for s in held}
     total = sum(w.values())
     if slots is None:
         slots = max(-(-(len(held[s]) + mixing.SPARE) * total // w[s]) for s in held)
+        assert weights or slots <= 2 * sum(len(b) + mixing.SPARE for b in held.values())
     out, rank = [], Counter()
     for i in range(slots):
-        u, lo = (i + 1) * mixing.PHI32 % 2**32, 0
+        u, lo = (i + 1) * mixing.PHI48 % 2**48, 0
         for s in sorted(held):
             hi = lo + w[s]
-            if lo * 2**32 // total <= u < hi * 2**32 // total:
+            if lo * 2**48 // total <= u < hi * 2**48 // total:
                 out += [(i, s, rank[s] // len(held[s]), rank[s] % len(held[s]), d) for d in held[s][rank[s] % len(held[s])]]
                 rank[s] += 1
             lo = hi
@@ -458,10 +460,34 @@ def test_schedule_against_plain_python(spark, docs):
     assert got == brute_schedule(rows, 512)
     assert {g[4] for g in got} == {r[0] for r in rows}
     weights = {f"src{i}": 1.0 + i for i in range(5)}
-    got = sorted((r.slot, r.source, r.epoch, r.block, r.doc_id) for r in mixing.schedule(docs, weights, 512, slots=300).collect())
+    some = docs.where(F.col("source").isin(*weights))
+    got = sorted((r.slot, r.source, r.epoch, r.block, r.doc_id) for r in mixing.schedule(some, weights, 512, slots=300).collect())
     assert got == brute_schedule([r for r in rows if r[2] in weights], 512, weights, 300)
 
 
+def test_slots_are_ranked_in_ranges(docs, monkeypatch):
+    want = sorted(map(repr, mixing.schedule(docs, block_tokens=512).collect()))
+    monkeypatch.setattr(mixing, "RANK_SLOTS", 7)
+    assert sorted(map(repr, mixing.schedule(docs, block_tokens=512).collect())) == want
+
+
+def test_weights_that_would_lose_a_source(spark):
+    d = spark.createDataFrame([(1, "a b", "x"), (2, "c", "y"), (3, "d", None)], "doc_id long, text string, source string")
+    for weights in ({"x": 1.0, "y": 1.0}, {"x": 1.0, "y": -1.0, None: 1.0}, {"x": 1.0, "y": 1e-16, None: 1.0}):
+        with pytest.raises(ValueError):
+            mixing.schedule(d, weights)
+    assert {r.source for r in mixing.schedule(d, {"x": 1.0, "y": 0.0, None: 2.0}).collect()} == {"x", None}
+
+
+def test_weights_of_very_large_sources(spark):
+    """Tokens of a petabyte fit the arithmetic."""
+    held = spark.createDataFrame([("a", 10**15), ("b", 7), ("c", 3 * 10**14)], "source string, n_tokens long")
+    w = {r.source: int(r.w) for r in mixing.targets(spark, held, None).collect()}
+    blocks = {"a": -(-(10**15) // 8192), "b": 1, "c": -(-3 * 10**14 // 8192)}
+    raw = {k: max(1, int(n**mixing.TEMPERATURE * 100)) for k, n in (("a", 1e15), ("b", 7.0), ("c", 3e14))}
+    assert w == {k: raw[k] * sum(b + mixing.SPARE for b in blocks.values()) + (blocks[k] + mixing.SPARE) * sum(raw.values()) for k in w}
+
+
 def test_slots_follow_the_weights(spark):
     rows = [(i, "ten words " * 5, f"src{i % 5}") for i in range(400)]
     weights = {f"src{i}": 1.0 + i for i in range(5)}
