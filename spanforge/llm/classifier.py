@@ -1,9 +1,9 @@
 """Quality classifier: random-indexing word vectors, pooled per document, under a two-layer numpy network.
 
-Every word bucket has a sparse ternary index vector; its word vector is the sum of the index vectors of its neighbours within
+Words are told apart by hash, in BUCKETS of them (2^17: a fixed size, so that the vectors can be broadcast). Every bucket has a sparse ternary index vector; its word vector is the sum of the index vectors of its neighbours within
 WINDOW over the whole corpus, scaled to unit length after the corpus' mean direction is taken out. A document is the mean of its words' vectors.
-A two-layer network is fitted on at most `max_labels` labelled documents (picked by key digest), and its logits are
-divided by the temperature that minimises held-out log loss, so probabilities are calibrated.
+A two-layer network is fitted on at most `max_labels` labelled documents (picked by key digest) in STEPS steps of 256 rows, whatever their number, the
+second half of them at half the rate, and its logits are divided by the temperature that minimises held-out log loss, so probabilities are calibrated.
 
 Defined results: null or blank text pools to the zero vector and is scored like any other; text is read whole; repeated documents
 count in the corpus and get a row each; a doc_id with several labels has the mean label, rounded; labels of null doc_id or
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import Tokens, arrow_batches, hash_words, materialize, mix64, sized
 
-BUCKETS, DIM, NONZERO, WINDOW = 16_384, 32, 4, 2
-HIDDEN, EPOCHS, MAX_LABELS = 24, 300, 20_000
+BUCKETS, DIM, NONZERO, WINDOW = 1 << 17, 64, 4, 2
+HIDDEN, STEPS, MAX_LABELS = 24, 6_000, 20_000
 HOLD_OUT = 0.2
 KEEP = 0.5
 
@@ -40,10 +40,12 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return (x % np.uint64(DIM)).astype(np.int64), np.where((x >> np.uint64(33)) & np.uint64(1), 1.0, -1.0)
 
 
-def context_sums(t: Tokens, place: np.ndarray, sign: np.ndarray) -> np.ndarray:
-    """Summed index vectors of neighbours, by bucket, for one batch."""
-    b, rows = buckets_of(t), t.rows
-    out = np.zeros(BUCKETS * DIM)
+def context_sums(t: Tokens, place: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, sums): summed index vectors of the neighbours of one batch's buckets."""
+    used, b = np.unique(buckets_of(t), return_inverse=True)
+    rows = t.rows
+    out = np.zeros(len(used) * DIM)
+    at, up = place[used], sign[used]
     for o in range(1, WINDOW + 1):
         if len(b) <= o:
             break
@@ -51,8 +53,8 @@ def context_sums(t: Tokens, place: np.ndarray, sign: np.ndarray) -> np.ndarray:
         left, right = b[:-o][same], b[o:][same]
         for x, y in ((left, right), (right, left)):
             for k in range(NONZERO):
-                out += np.bincount(x * DIM + place[y, k], weights=sign[y, k], minlength=len(out))
-    return out.reshape(BUCKETS, DIM)
+                out += np.bincount(x * DIM + at[y, k], weights=up[y, k], minlength=len(out))
+    return used, out.reshape(len(used), DIM)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -60,16 +62,14 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, sign = index_vectors()
-        total, any_ = np.zeros((BUCKETS, DIM)), False
+        total = np.zeros((BUCKETS, DIM), np.int32)
         for b in arrow_batches(batches):
-            total += context_sums(Tokens(b.column(0), trim=False), place, sign)
-            any_ = True
-        if any_:
-            at = np.flatnonzero(np.abs(total).any(1))
-            step = 2048
-            for s in range(0, len(at), step):
-                pick = at[s : s + step]
-                yield pa.RecordBatch.from_arrays([pa.array(pick // 1024), pa.array(pick), pa.array([v.tobytes() for v in total[pick].astype(np.int32)], pa.binary())], ["part", "bucket", "v"])
+            used, sums = context_sums(Tokens(b.column(0), trim=False), place, sign)
+            total[used] += sums.astype(np.int32)
+        at = np.flatnonzero(total.any(1))
+        for s in range(0, len(at), 2048):
+            pick = at[s : s + 2048]
+            yield pa.RecordBatch.from_arrays([pa.array(pick // 1024), pa.array(pick), pa.array([v.tobytes() for v in total[pick]], pa.binary())], ["part", "bucket", "v"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -77,27 +77,29 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
             for k, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 v = np.frombuffer(v, np.int32).astype(np.int64)
                 sums[k] = sums[k] + v if k in sums else v
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["bucket", "v"])
+        # only the direction counts from here on
+        rows = [(v / max(np.linalg.norm(v), 1e-9)).astype(np.float32).tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "v"])
 
     sent = docs.select("text").mapInArrow(run, "part long, bucket long, v binary").repartition(BUCKETS // 1024, "part")
     got = sent.mapInArrow(add, "bucket long, v binary").toPandas()
-    m = np.zeros((BUCKETS, DIM))
+    unit = np.zeros((BUCKETS, DIM), np.float32)
     for k, v in zip(got.bucket, got.v, strict=True):
-        m[k] = np.frombuffer(v, np.int64)
-    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-    seen = np.abs(m).any(1)
+        unit[k] = np.frombuffer(v, np.float32)
+    seen = unit.any(1)
     if seen.any():
         unit[seen] -= unit[seen].mean(0)
         unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
         unit[~seen] = 0
-    return unit.astype(np.float32)
+    return unit
 
 
 def pool(t: Tokens, vectors: np.ndarray) -> np.ndarray:
     """(rows, DIM) means of the tokens' vectors."""
-    b, rows, n = buckets_of(t), t.rows, len(t.lengths)
+    used, b = np.unique(buckets_of(t), return_inverse=True)
+    rows, n, own = t.rows, len(t.lengths), np.ascontiguousarray(vectors[used].T)
     # one dimension at a time: a token's whole vector would be a hundred times its text
-    sums = np.stack([np.bincount(rows, weights=vectors[:, k][b], minlength=n) for k in range(DIM)], axis=1)
+    sums = np.stack([np.bincount(rows, weights=own[k][b], minlength=n) for k in range(DIM)], axis=1)
     return sums / np.maximum(t.lengths, 1)[:, None]
 
 
@@ -114,7 +116,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
 
-def fit_network(x: np.ndarray, y: np.ndarray, held: np.ndarray, epochs: int = EPOCHS) -> Network:
+def fit_network(x: np.ndarray, y: np.ndarray, held: np.ndarray, steps: int = STEPS) -> Network:
     """Adam on the rows not held out; the temperature is searched on those held out."""
     if len(y) == 0 or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.5
@@ -126,24 +128,20 @@ def fit_network(x: np.ndarray, y: np.ndarray, held: np.ndarray, epochs: int = EP
     z, t = (x[tr] - mean) / scale, y[tr]
     p = [rng.normal(0, 1 / np.sqrt(DIM), (DIM, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-    step = 0
-    size = 256
-    for epoch in range(epochs):
-        order = rng.permutation(len(t))
-        if step > 6000:
-            break
-        for at in range(0, len(t), size):
-            pick = order[at : at + size]
-            h = np.tanh(z[pick] @ p[0] + p[1])
-            e = (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3], -30, 30))) - t[pick]) / len(pick)
-            back = np.outer(e, p[2]) * (1 - h * h)
-            grads = [z[pick].T @ back + 1e-5 * p[0], back.sum(0), h.T @ e + 1e-5 * p[2], np.array([e.sum()])]
-            step += 1
-            rate = 0.01 * (0.5 if epoch > epochs // 2 else 1)
-            for i, g in enumerate(grads):
-                m[i] = 0.9 * m[i] + 0.1 * g
-                v[i] = 0.999 * v[i] + 0.001 * g * g
-                p[i] -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
+    size, order, at = 256, rng.permutation(len(t)), 0
+    for step in range(1, steps + 1):
+        if at >= len(t):
+            order, at = rng.permutation(len(t)), 0
+        pick, at = order[at : at + size], at + size
+        h = np.tanh(z[pick] @ p[0] + p[1])
+        e = (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3], -30, 30))) - t[pick]) / len(pick)
+        back = np.outer(e, p[2]) * (1 - h * h)
+        grads = [z[pick].T @ back + 1e-5 * p[0], back.sum(0), h.T @ e + 1e-5 * p[2], np.array([e.sum()])]
+        rate = 0.01 * (0.5 if 2 * step > steps else 1)
+        for i, g in enumerate(grads):
+            m[i] = 0.9 * m[i] + 0.1 * g
+            v[i] = 0.999 * v[i] + 0.001 * g * g
+            p[i] -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
     net = Network(mean, scale, p[0], p[1], p[2], float(p[3][0]))
     if held.any():
         logit, target = net.logits(x[held]), y[held]

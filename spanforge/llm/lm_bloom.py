@@ -33,7 +33,9 @@ from .common import Tokens, arrow_batches, fresh_path, materialize, mix64, ngram
 U = np.uint64
 BITS_PER_KEY, PROBES = 10, 7
 #: Grams (with one entry per block) that a segment holds on average, bytes of text in a block, and in the slices of a block that are tokenised at once.
-SEGMENT_GRAMS, BLOCK_BYTES, SLICE_BYTES = 1 << 21, 16 << 20, 4 << 20
+SEGMENT_GRAMS, BLOCK_BYTES, SLICE_BYTES = 1 << 21, 8 << 20, 4 << 20
+#: Grams are told apart by this many bits: 10^13 of them share a hash with a chance of 0.2 %, a fraction of the filter's own error.
+GRAM_BITS = 52
 
 
 def gram_levels(counts: np.ndarray, base: float) -> np.ndarray:
@@ -98,8 +100,8 @@ class BloomTable:
 
 
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
-    """By the hash's upper half, so that sorted grams are in order of their segments."""
-    return (((h >> U(32)) * U(segments)) >> U(32)).astype(np.int64)
+    """By the hash's upper bits, so that sorted grams are in order of their segments."""
+    return (((h >> U(GRAM_BITS - 32)) * U(segments)) >> U(32)).astype(np.int64)
 
 
 def pack_sorted(a: np.ndarray) -> bytes:
@@ -115,12 +117,14 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 def position_grams(t: Tokens, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For n = 1 ... order: (positions, gram) of the n-grams that end at a token. The lowest bit tells single words from longer grams."""
-    inside = np.arange(len(t.ids)) - np.repeat(t.offsets[:-1], t.lengths)
-    out = []
-    for n in range(1, order + 1):
-        g = ngram_hashes(t, n)[1]
-        out.append((np.flatnonzero(inside >= n - 1), (g & ~U(1)) | U(n == 1)))
-    return out
+    where = gram_ends(t.lengths, order)
+    return [(where[n - 1], ((ngram_hashes(t, n)[1] >> U(64 - GRAM_BITS)) & ~U(1)) | U(n == 1)) for n in range(1, order + 1)]
+
+
+def gram_ends(lengths: np.ndarray, order: int) -> list[np.ndarray]:
+    """For n = 1 ... order: positions of the tokens at which an n-gram of their row ends."""
+    inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return [np.flatnonzero(inside >= n - 1) for n in range(1, order + 1)]
 
 
 def text_blocks(docs: DataFrame, key: str) -> DataFrame:
@@ -158,11 +162,16 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     """Sorted hashes with their counts, of several such pairs."""
     if len(parts) == 1:
         return parts[0]
-    u = np.unique(np.concatenate([x for x, _ in parts]))
-    k = np.zeros(len(u), np.int64)
-    for x, n in parts:
-        k[np.searchsorted(u, x)] += n
-    return u, k
+    h, k = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    return h[start], np.add.reduceat(k[order], start) if len(h) else k
+
+
+def _distinct(arrays: list[np.ndarray]) -> np.ndarray:
+    h = np.sort(np.concatenate(arrays))
+    return h[np.r_[True, h[1:] != h[:-1]]] if len(h) else h
 
 
 class Model:
@@ -211,15 +220,11 @@ def answers(asked: DataFrame, segments: int, base: float, store: str | None = No
     and answers every block with levels in the order of its grams. A segment's totals are in the first of its rows."""
 
     def segment(s, held):
-        u = np.sort(np.concatenate([x[2] for x in held]))
-        u = u[np.r_[True, u[1:] != u[:-1]]]
         tokens = words = 0
         if model:
-            table = model.read(s)
+            u, table = _distinct([x[2] for x in held]), model.read(s)
         else:
-            k = np.zeros(len(u), np.int64)
-            for _, _, g, c in held:
-                k[np.searchsorted(u, g)] += np.frombuffer(zstandard.decompress(c), np.int32)
+            u, k = _merged([(g, np.frombuffer(zstandard.decompress(c), np.int32).astype(np.int64)) for _, _, g, c in held])
             size, data = _segment_bits(u, gram_levels(k, base))
             table, one = BloomTable(size, np.frombuffer(data, np.uint8)), u & U(1) > 0
             tokens, words = int(k[one].sum()), int(one.sum())
@@ -279,9 +284,10 @@ def fit(docs: DataFrame, order: int = 3, base: float = 2.0) -> Model:
 
 def _smoothed(levels: list[np.ndarray], base: float, tokens: int, vocabulary: int, mix: float) -> np.ndarray:
     """levels[0] is the word's own level; levels[2k-1], levels[2k] those of the (k+1)-gram and of its history."""
-    p = (level_count(levels[0], base) + 1) / (tokens + vocabulary + 1)
+    stands = level_count(np.arange(256), base)
+    p = (stands[levels[0]] + 1) / (tokens + vocabulary + 1)
     for k in range(1, len(levels), 2):
-        full, history = level_count(levels[k], base), level_count(levels[k + 1], base)
+        full, history = stands[levels[k]], stands[levels[k + 1]]
         ml = np.minimum(1.0, full / np.maximum(history, 1e-9))
         p = np.where(history > 0, mix * ml + (1 - mix) * p, p)
     return np.log(p)
@@ -313,14 +319,14 @@ def _score_blocks(blocks: DataFrame, path: str, model: Model, key: str, kind: st
                     t = Tokens(rows.column("text"))
                     grams = position_grams(t, order)
                     own, back = np.unique(np.concatenate([g for _, g in grams]), return_inverse=True)
-                    slices.append((rows.column(key), t.rows, t.lengths, [w for w, _ in grams], own, back.astype(np.int32)))
-                u = slices[0][4] if len(slices) == 1 else np.unique(np.concatenate([x[4] for x in slices]))
+                    slices.append((rows.column(key), t.lengths, own, back.astype(np.int32)))
+                u = slices[0][2] if len(slices) == 1 else _distinct([x[2] for x in slices])
                 if len(u) != len(level):
                     raise RuntimeError(f"block {p}/{block} asked for {len(u)} grams and got {len(level)} levels")
-                for keys, of_row, lengths, where, own, back in slices:
-                    got, at, q = level[np.searchsorted(u, own)][back].astype(np.int64), 0, []
+                for keys, lengths, own, back in slices:
+                    got, at, q, where = level[np.searchsorted(u, own)][back], 0, [], gram_ends(lengths, order)
                     for w in where:
-                        full = np.zeros(len(of_row), np.int64)
+                        full = np.zeros(len(where[0]), np.uint8)
                         full[w] = got[at : at + len(w)]
                         at += len(w)
                         q.append(full)
@@ -329,7 +335,7 @@ def _score_blocks(blocks: DataFrame, path: str, model: Model, key: str, kind: st
                         history = np.zeros_like(q[0])
                         history[where[n]] = q[n - 1][where[n] - 1]
                         levels += [q[n], history]
-                    total = np.bincount(of_row, weights=_smoothed(levels, base, tokens, vocabulary, mix), minlength=len(lengths))
+                    total = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=_smoothed(levels, base, tokens, vocabulary, mix), minlength=len(lengths))
                     empty = lengths == 0
                     yield pa.RecordBatch.from_arrays(
                         [keys, pa.array(lengths), pa.array(total, mask=empty), pa.array(total / np.maximum(lengths, 1), mask=empty)],

@@ -4,6 +4,7 @@ import hashlib
 import math
 import tarfile
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 from itertools import combinations
 from urllib.parse import urlparse
 
@@ -102,7 +103,7 @@ def test_registered_lm_scores_have_trigram_contexts(spark, docs):
 
 
 def test_packed_arrays_and_segments():
-    h = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2))
+    h = np.sort(np.random.default_rng(1).integers(0, 1 << lm_bloom.GRAM_BITS, 5000).astype(np.uint64))
     assert (lm_bloom.unpack_sorted(lm_bloom.pack_sorted(h)) == h).all()
     seg = lm_bloom.segment_of(h, 37)
     assert (np.diff(seg) >= 0).all() and seg.min() == 0 and seg.max() == 36
@@ -296,6 +297,55 @@ def test_components(spark):
 # ---- 4 media columns
 
 
+def plain_header(html):
+    """Metadata by another parser, from the whole page."""
+    found = dict.fromkeys(media.META) | {"kind": "html"}
+
+    class Parser(HTMLParser):
+        inside = False
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            found["lang"] = a["lang"].lower() if tag == "html" and "lang" in a else found["lang"]
+            found["charset"] = a["charset"].lower() if tag == "meta" and "charset" in a else found["charset"]
+            self.inside = tag == "title"
+
+        def handle_endtag(self, tag):
+            self.inside = False
+
+        def handle_data(self, data):
+            if self.inside:
+                found["title"] = (found["title"] or "") + data
+
+        def handle_entityref(self, name):
+            self.handle_data(f"&{name};")
+
+        def handle_charref(self, name):
+            self.handle_data(f"&#{name};")
+
+    p = Parser(convert_charrefs=False)
+    p.feed(html)
+    return found | {"title": found["title"] and found["title"].strip()}
+
+
+def test_headers_are_read_alone(spark, tmp_path):
+    """Reads stay within the headers: neither long bodies nor long members are fetched."""
+    rng = np.random.default_rng(3)
+    body = "".join(map(chr, rng.integers(97, 122, 200_000)))
+    late = "<html><head>" + "<meta x>" * 1000 + '<meta charset="late-1"><title>Far</title></head><body>' + body
+    exif = b"\xff\xd8" + (b"\xff\xe1" + (60_000).to_bytes(2, "big") + b"e" * 59_998) * 3 + b"\xff\xc2\x00\x11\x08" + (7).to_bytes(2, "big") + (9).to_bytes(2, "big") + b"z" * 100_000
+    cut = exif[:70_000]
+    rows = [(1, ("<html><title>t</title>" + body).encode()), (2, late.encode()), (3, exif), (4, cut), (5, b"\xff\xd8"), (6, body.encode())]
+    root = "file://" + str(tmp_path / "media")
+    index = media.store(spark.createDataFrame(rows, "k long, p binary"), "k", "p", root).cache()
+    got = {r.raw_bytes: r for r in media.with_metadata(index, root).collect()}
+    by = {k: got[len(p)] for k, p in rows}
+    assert by[1].title == "t" and by[2].charset == "late-1" and by[2].title == "Far" and (by[3].height, by[3].width) == (7, 9)
+    assert by[4].kind == by[5].kind == "jpeg" and by[4].width is None and by[6].kind == "text"
+    assert all(r.read_bytes <= 2 * media.HEADER_BYTES for r in by.values())
+    assert all(media.member_bytes(root, by[k].shard, by[k].offset, by[k].length, by[k].head) == p for k, p in rows)
+
+
 def test_media_round_trip(spark, tmp_path):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     twice = pages.union(pages.withColumn("page_id", F.col("page_id") + 1000))
@@ -304,9 +354,10 @@ def test_media_round_trip(spark, tmp_path):
     html = {r.page_id: r.html for r in twice.collect()}
     assert len(rows) == len(html)
     for r in rows:
-        data = media.member_bytes(root, r.shard, r.offset, r.length)
+        data = media.member_bytes(root, r.shard, r.offset, r.length, r.head)
         assert hashlib.sha256(data).hexdigest() == r.digest and data.decode() == html[r.page_id] and r.raw_bytes == len(data)
         assert r.kind == "html" and r.charset == "utf-8" and f'lang="{r.lang}"' in html[r.page_id]
+        assert {c: r[c] for c in media.META} == plain_header(html[r.page_id])
     members = [m.name for p in (tmp_path / "media").glob("*.tar") for m in tarfile.open(p).getmembers()]
     assert len(members) == len(set(members)) == len({r.digest for r in rows})
 
@@ -524,7 +575,36 @@ def test_context_sums_against_plain_python():
             for j in range(max(lo, i - classifier.WINDOW), min(hi, i + classifier.WINDOW + 1)):
                 if i != j:
                     np.add.at(want[b[i]], place[b[j]], sign[b[j]])
-    assert np.allclose(classifier.context_sums(t, place, sign), want)
+    used, sums = classifier.context_sums(t, place, sign)
+    assert np.allclose(sums, want[used]) and set(used) == set(b)
+
+
+def test_classifier_query_against_brute_force(spark, docs, texts):
+    """The registered query by plain loops over tokens: word vectors, pools, the same fit on the same labels, probabilities."""
+    place, sign = classifier.index_vectors()
+    tokens = {k: (t or "").lower().split() for k, t in texts.items()}
+    bucket = {w: int(classifier.buckets_of(Tokens(pa.array([w]), trim=False))[0]) for ws in tokens.values() for w in set(ws)}
+    vectors = defaultdict(lambda: np.zeros(classifier.DIM))
+    for ws in tokens.values():
+        for i, w in enumerate(ws):
+            for j in range(max(0, i - classifier.WINDOW), min(len(ws), i + classifier.WINDOW + 1)):
+                if i != j:
+                    y = bucket[ws[j]]
+                    np.add.at(vectors[bucket[w]], place[y], sign[y])
+    vectors = {k: v / np.linalg.norm(v) for k, v in vectors.items() if v.any()}
+    mean = np.mean(list(vectors.values()), axis=0)
+    vectors = {k: (v - mean) / np.linalg.norm(v - mean) for k, v in vectors.items()}
+    zero = np.zeros(classifier.DIM)
+    pools = {k: sum((vectors.get(bucket[w], zero) for w in ws), zero) / max(1, len(ws)) for k, ws in tokens.items()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    ids = sorted(set(labels) & set(pools))
+    held = np.array([int(classifier.mix64(classifier.hash_words([str(i)]))[0]) % 1000 < 200 for i in ids])
+    net = classifier.fit_network(np.array([pools[i] for i in ids]), np.array([float(labels[i]) for i in ids]), held)
+    got = {r.doc_id: r for r in queries.op9_quality_classifier(spark, SF).collect()}
+    assert got.keys() == pools.keys()
+    for k, v in pools.items():
+        p = float(net.probability(v[None, :])[0])
+        assert abs(got[k].quality_prob - p) < 1e-3 and (got[k].keep == (p >= classifier.KEEP) or abs(p - classifier.KEEP) < 1e-3)
 
 
 def test_network_learns_and_is_calibrated():
