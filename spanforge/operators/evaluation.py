@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -28,7 +28,8 @@ def evaluate(hits: DataFrame, gold: DataFrame, examples: DataFrame, k: int = 10)
     r = examples.join(g, "query_id", "left").join(per, "query_id", "left")
     r = r.withColumns({"gold_refs": F.coalesce("gold_refs", none), "context": F.coalesce("context", none)})
     both = F.size(F.array_intersect("context", "gold_refs"))
-    margin = F.col("top_score") - F.col("second_score")
+    # ranks are made on nine decimals, and so are margins: sums in another order give the same ones
+    margin = F.round("top_score", 9) - F.round("second_score", 9)
     return r.withColumns(
         {
             "hit_at_1": F.coalesce(F.col("first_hit") == 1, F.lit(False)),
@@ -39,7 +40,7 @@ def evaluate(hits: DataFrame, gold: DataFrame, examples: DataFrame, k: int = 10)
             "n_context": F.size("context").cast("long"),
             "n_gold": F.size("gold_refs").cast("long"),
             "margin": margin,
-            "margin_ratio": margin / F.greatest(F.abs("top_score"), F.lit(1e-9)),
+            "margin_ratio": F.round(margin / F.greatest(F.abs(F.round("top_score", 9)), F.lit(1e-9)), 9),
         }
     )
 
@@ -86,13 +87,25 @@ def confusions(results: DataFrame) -> DataFrame:
     return r.groupBy(F.col("gold_refs")[0].alias("gold_ref"), "top_ref").agg(F.count("*").alias("n"))
 
 
+def ordered_places(df: DataFrame, order: list[Column], buckets: int = 64) -> DataFrame:
+    """`df` with `place` (from 0) in a total order and `total`, in two levels: rows go to ranges of the order, ranges are summed, and
+    places are counted within a range. No task holds more than a range."""
+    r = df.repartitionByRange(buckets, *order).withColumn("__range", F.spark_partition_id()).sortWithinPartitions(*order)
+    r = r.withColumn("__in", F.monotonically_increasing_id() - F.shiftleft(F.col("__range").cast("long"), 33))
+    n = r.groupBy("__range").agg(F.count("*").alias("__k"))
+    n = n.select("__range", F.coalesce(F.sum("__k").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__k").over(W.partitionBy()).alias("total"))
+    return r.join(F.broadcast(n), "__range").withColumn("place", F.col("__before") + F.col("__in")).drop("__range", "__in", "__before")
+
+
 def quantile_thresholds(results: DataFrame, field: str = "margin_ratio", qs=(0.25, 0.5, 0.75, 0.9)) -> DataFrame:
-    """0 and the nearest-rank quantiles at 6 decimals; index round((n - 1) q), half to even."""
-    v = results.where(F.col(field).isNotNull() & F.col("top_ref").isNotNull()).select(F.col(field).alias("x"))
-    ranked = v.select("x", (F.row_number().over(W.orderBy("x")) - 1).alias("i"), F.count("*").over(W.partitionBy()).alias("n"))
-    picks = ranked.where(F.array_contains(F.array(*[F.bround((F.col("n") - 1) * F.lit(q)).cast("int") for q in qs]), F.col("i")))
+    """0 and the nearest-rank quantiles, cut to 6 decimals so that the result they come from reaches them; index round((n - 1) q), half to even."""
+    v = results.where(F.col(field).isNotNull() & F.col("top_ref").isNotNull()).groupBy(F.col(field).alias("x")).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = v.select("x", (upto - F.col("k")).alias("lo"), upto.alias("hi"), F.sum("k").over(W.partitionBy()).alias("n"))
+    at = [F.bround((F.col("n") - 1) * F.lit(q)).cast("long") for q in qs]
+    picks = ranked.where(F.exists(F.array(*at), lambda i: (i >= F.col("lo")) & (i < F.col("hi"))))
     zero = results.sparkSession.createDataFrame([(0.0,)], "threshold double")
-    return zero.union(picks.select(F.round("x", 6).alias("threshold"))).distinct()
+    return zero.union(picks.select((F.floor(F.col("x") * 1e6) / 1e6).alias("threshold"))).distinct()
 
 
 def jump_curve(results: DataFrame, thresholds: DataFrame, field: str = "margin_ratio") -> DataFrame:

@@ -12,11 +12,15 @@ from ..functions import text as T
 def line_regions(docs: DataFrame, size: int = 1, keep: list[str] | None = None) -> DataFrame:
     """Every `size` lines are a region; blank ones leave a gap in the numbering.
 
-    One pass and no shuffle: lines are sliced within the row. `keep` names further columns to carry along.
+    One pass and no shuffle: the text is cut once, into lines or into runs of `size` lines. `keep` names further columns to carry along.
     """
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / size).cast("int")), lambda i: F.array_join(F.slice(lines, i * size + 1, F.lit(size)), "\n"))
-    rows = docs.select("doc_id", *(keep or []), F.size(lines).alias("__n"), F.posexplode(chunks).alias("__i", "text")).where(F.col("text").rlike(r"\S"))
+    text = F.coalesce("text", F.lit(""))
+    if size == 1:
+        chunks = F.split(text, "\n", -1)
+    else:
+        runs = F.regexp_extract_all(F.concat(text, F.lit("\n")), F.lit(f"(?:[^\n]*\n){{1,{size}}}"), F.lit(0))
+        chunks = F.transform(runs, lambda x: F.substring(x, F.lit(1), F.length(x) - 1))
+    rows = docs.select("doc_id", *(keep or []), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("__n"), F.posexplode(chunks).alias("__i", "text")).where(F.col("text").rlike(r"\S"))
     number = F.col("__i") + 1
     return rows.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"),

@@ -25,10 +25,23 @@ def queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    """Regions that hold a line of 20 characters or more of a benchmark item."""
+    """Regions that hold a line of 20 characters or more of a benchmark item.
+
+    A line of four words or more holds its second and third word between blanks, and so does a region with it: that pair is the key of an
+    equi-join, and whole lines are compared for the few that share it. Only shorter lines, if there are any, are compared with all regions.
+    """
     lines = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.split("text", "\n", -1)).alias("l")).where(F.length("l") >= 20)
+    lines = lines.select("query_id", "l", F.split("l", " ", -1).alias("w"))
     r = line_regions(spark, d).select("ref", "text")
-    return r.join(lines, r["text"].contains(lines["l"])).select("query_id", "ref").distinct()
+    pair = lambda w, i: F.concat_ws(" ", w[i], w[i + 1])
+    keyed = lines.where(F.size("w") >= 4).select("query_id", "l", pair(F.col("w"), 1).alias("key"))
+    words = r.select("ref", "text", F.split("text", " ", -1).alias("w")).where(F.size("w") >= 4)
+    pairs = words.select("ref", "text", F.explode(F.array_distinct(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda x, y: F.concat_ws(" ", x, y)))).alias("key"))
+    found = pairs.join(keyed, "key").where(F.col("text").contains(F.col("l"))).select("query_id", "ref")
+    short = lines.where(F.size("w") < 4)
+    if not short.isEmpty():
+        found = found.union(r.join(short, r["text"].contains(short["l"])).select("query_id", "ref"))
+    return found.distinct()
 
 
 def examples(spark: SparkSession, d: str) -> DataFrame:

@@ -49,7 +49,7 @@ def results(hits: str = "hits", name: str = "res") -> str:
       CASE WHEN coalesce(len(g.gold_refs), 0) <= 1 THEN 'single' ELSE 'distributed' END AS mode,
       CAST(coalesce(len(p.context), 0) AS BIGINT) AS n_context, CAST(coalesce(len(g.gold_refs), 0) AS BIGINT) AS n_gold,
       coalesce(p.first_hit = 1, false) AS hit_at_1, p.first_hit IS NOT NULL AS hit_at_k, coalesce(1.0 / p.first_hit, 0.0) AS rr,
-      p.top_score - p.second_score AS margin, (p.top_score - p.second_score) / greatest(abs(p.top_score), 1e-9) AS margin_ratio
+      round(p.top_score, 9) - round(p.second_score, 9) AS margin, round((round(p.top_score, 9) - round(p.second_score, 9)) / greatest(abs(round(p.top_score, 9)), 1e-9), 9) AS margin_ratio
     FROM ex e LEFT JOIN g USING (query_id) LEFT JOIN (
       SELECT h.query_id, list(h.ref ORDER BY h.rank) AS context, min(CASE WHEN list_contains(g.gold_refs, h.ref) THEN h.rank END) AS first_hit,
         max(CASE WHEN h.rank = 1 THEN h.ref END) AS top_ref, max(CASE WHEN h.rank = 1 THEN h.score END) AS top_score, max(CASE WHEN h.rank = 2 THEN h.score END) AS second_score
@@ -283,7 +283,7 @@ CONF = "conf AS (SELECT gold_refs[1] AS gold_ref, top_ref, count(*) AS n FROM re
 S["e_heatmap"] = sql([*EV, HEAT], "SELECT * FROM heat")
 S["e_confusions"] = sql([*EV, CONF], "SELECT * FROM conf")
 S["e_jump_curve"] = sql([*EV, "rk AS (SELECT margin_ratio AS x, row_number() OVER (ORDER BY margin_ratio) - 1 AS i, count(*) OVER () AS n FROM res WHERE margin_ratio IS NOT NULL AND top_ref IS NOT NULL)",
-    "th AS (SELECT 0.0::DOUBLE AS threshold UNION SELECT round(x, 6) FROM rk WHERE i IN (round_even((n - 1) * 0.25, 0), round_even((n - 1) * 0.5, 0), round_even((n - 1) * 0.75, 0), round_even((n - 1) * 0.9, 0)))",
+    "th AS (SELECT 0.0::DOUBLE AS threshold UNION SELECT floor(x * 1e6) / 1e6 FROM rk WHERE i IN (round_even((n - 1) * 0.25, 0), round_even((n - 1) * 0.5, 0), round_even((n - 1) * 0.75, 0), round_even((n - 1) * 0.9, 0)))",
     "ok AS (SELECT threshold, hit_at_1, hit_at_k, coalesce(margin_ratio >= threshold AND top_ref IS NOT NULL, false) AS ok FROM res, th)"],
     """SELECT round(threshold, 6) AS threshold, count(*) FILTER (ok) AS accepted, round(avg(ok::INT), 6) AS coverage, round(coalesce(avg(hit_at_1::INT) FILTER (ok), 0.0), 6) AS precision_at_1,
   round(coalesce(avg(hit_at_k::INT) FILTER (ok), 0.0), 6) AS hit_at_k FROM ok GROUP BY threshold""")
