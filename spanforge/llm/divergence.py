@@ -1,13 +1,14 @@
 """Quality rules by distribution divergence.
 
 A document's character-class histogram and its histogram over the language's common words are compared with
-the language's references by Jensen-Shannon distance (base 2, 0 to 1). References are means of the documents' own distributions, over all
-documents of the language that pass the length guards; common words are those of the largest mean share. A document is rejected
-if it is long enough to be judged and either distance is over its limit.
+the language's references by Jensen-Shannon distance (base 2, 0 to 1). References are means of the documents' own distributions, over
+documents of the language that pass the length guards: those labelled good where there are labels, else all. Each language's means are
+smoothed by PRIOR documents of the mean of all languages, whatever its size; common words are those of the largest mean share. A document is
+rejected if it is long enough to be judged and either distance is over its limit.
 
 Defined results: null, empty or short text is not judged (null distances) and kept; text is read whole; repeated rows weigh
-as often as they occur and each get their row; a null language is a language of its own; a language of fewer than MIN_DOCS
-documents is compared with the mean of all; an empty table gives an empty result; other columns are ignored, and the
+as often as they occur and each get their row; a null language is a language of its own; a language without reference documents
+is compared with the mean of all, and without any reference nothing is judged; an empty table gives an empty result; other columns are ignored, and the
 filter keeps the input's columns as they are.
 """
 
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, arrow_batches
+from .common import Tokens, arrow_batches, free_name
 
 CLASSES = ["vowel", "consonant", "upper", "letter", "digit", "space", "line", "stop", "symbol"]
-MIN_CHARS, MIN_WORDS, MIN_DOCS = 200, 40, 20
+MIN_CHARS, MIN_WORDS = 200, 40
+#: Documents that the mean of all languages weighs in each language's references.
+PRIOR = 2.0
 COMMON_WORDS, WORD_SHARE = 40, 0.004
 CHAR_LIMIT, WORD_LIMIT = 0.25, 0.36
 ALL = "\0all"
@@ -140,7 +143,9 @@ def fit_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> R
         counts[name] = v["n:"]
         chars[name] = np.array([v["c:" + c] for c in CLASSES])
         candidates[name] = sorted(k[2:] for k in v if k.startswith("w:"))
-    held = docs.sparkSession.sparkContext.broadcast({k: {w: i for i, w in enumerate(ws)} for k, ws in candidates.items()})
+    # every language also counts the others' candidates, for the mean of all
+    every = sorted({w for ws in candidates.values() for w in ws})
+    held = docs.sparkSession.sparkContext.broadcast({k: {w: i for i, w in enumerate(every)} for k in candidates})
 
     def second(batches):
         sums: dict[str, np.ndarray] = {}
@@ -161,24 +166,33 @@ def fit_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> R
     got = base.mapInArrow(second, schema).groupBy("lang", "item").agg(F.sum("total").alias("total")).toPandas()
     shares_of = {name: dict(zip(p["item"], p.total, strict=True)) for name, p in got.groupby("lang")}
     total = sum(counts.values())
-    if total:
-        merged: dict[str, float] = {}
-        for v in shares_of.values():
-            for w, x in v.items():
-                merged[w] = merged.get(w, 0.0) + x
-        chars[ALL], counts[ALL], shares_of[ALL] = sum(chars.values()), total, merged
+    if not total:
+        return References({}, {}, {})
+    mean_chars = sum(chars.values()) / total
+    mean_words = {w: sum(v.get(w, 0.0) for v in shares_of.values()) / total for w in every}
     out_chars, words, shares = {}, {}, {}
-    for name, n in counts.items():
-        if name != ALL and n < MIN_DOCS:
-            continue
-        v = shares_of.get(name, {})
-        words[name] = sorted(v, key=lambda w: (-round(v[w] / n, 9), w))[:COMMON_WORDS]
-        known = np.array([v[w] / n for w in words[name]])
+    for name in [*counts, ALL]:
+        n = 0.0 if name == ALL else counts[name]
+        v = {} if name == ALL else shares_of.get(name, {})
+        share = {w: (v.get(w, 0.0) + PRIOR * mean_words[w]) / (n + PRIOR) for w in every}
+        words[name] = sorted((w for w in every if share[w] > 0), key=lambda w: (-round(share[w], 9), w))[:COMMON_WORDS]
+        known = np.array([share[w] for w in words[name]])
         shares[name] = np.append(known, max(0.0, 1 - known.sum()))
-        out_chars[name] = chars[name] / chars[name].sum()
+        c = (0 if name == ALL else chars[name]) + PRIOR * mean_chars
+        out_chars[name] = c / c.sum()
     return References(out_chars, words, shares)
 
 
+def good_documents(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The documents that `labels` call good, all of them; `docs` itself without labels or where none of them is labelled good."""
+    if labels is None:
+        return docs
+    mark = free_name(docs, "good")
+    ids = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias(mark)).distinct()
+    good = docs.join(ids, docs["doc_id"] == ids[mark], "left_semi")
+    return docs if good.isEmpty() else good
+
+
 def distances(texts: pa.Array, langs: list[str], refs: References) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(chars, words, character distance, word distance, judged) of a batch."""
     t, chars = Tokens(texts), char_counts(texts.to_pylist())
@@ -193,9 +207,9 @@ def distances(texts: pa.Array, langs: list[str], refs: References) -> tuple[np.n
     return chars.sum(1).astype(np.int64), t.lengths, char_d, word_d, ok
 
 
-def judge(docs: DataFrame, refs: References | None = None, key: str = "doc_id") -> DataFrame:
+def judge(docs: DataFrame, refs: References | None = None, key: str = "doc_id", labels: DataFrame | None = None) -> DataFrame:
     """(key, chars, words, char_distance, word_distance, keep) for each row of `docs`."""
-    held = docs.sparkSession.sparkContext.broadcast(refs or fit_references(docs))
+    held = docs.sparkSession.sparkContext.broadcast(refs or fit_references(good_documents(docs, labels)))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -219,6 +233,6 @@ def keep_column(docs: DataFrame, refs: References) -> Column:
     return kept(docs["text"], docs["lang"].cast("string"))
 
 
-def keep_typical(docs: DataFrame) -> DataFrame:
+def keep_typical(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The rows of `docs` that the rules keep."""
-    return docs.where(keep_column(docs, fit_references(docs)))
+    return docs.where(keep_column(docs, fit_references(good_documents(docs, labels))))

@@ -3,7 +3,8 @@
 log P(l | row) ~ text likelihood + declared markup language + address suffix + host prior. The text model is a character-bigram
 model, fitted on a bounded sample of rows with a declared language (MAX_ROWS). Host priors are Dirichlet-smoothed from host to
 domain to the whole table: p_host = (n_host + K p_domain) / (N_host + K), over grouped counts of the rows' likeliest
-languages by text. An extra class "und", uniform over bigrams, stands for text of no language.
+languages by text. An extra class "und", under which every bigram has the chance 1 / 4096, stands for text of no language. Letters of
+all scripts count: those from Greek to Arabic singly, others by Unicode block; a row's weight in the text model is n / (1 + n / SATURATION) for n bigrams.
 
 Defined results: null or blank text leaves the other evidence to decide; a missing declaration or suffix is no evidence; a null
 host is a host of its own; ties go to the first language by name; text is read whole; repeated rows each count and get their row; an empty
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, free_name, materialize, sized
 
-WIDTH = 64
+WIDTH = 256
+#: Bigrams of one row from which on more of them add little.
+SATURATION = 2000
 MAX_ROWS = 20_000
 #: Bigrams of a text are dependent: their total weighs as at most this many.
 EVIDENCE = 150.0
@@ -36,10 +39,11 @@ SUFFIX = {"fr": "fr", "be": "fr", "de": "de", "at": "de", "ch": "de", "es": "es"
 
 
 def _table() -> np.ndarray:
-    """Classes of code points: a-z, single accented letters, blank, digit, sentence mark, other letter, other."""
-    out = np.full(0x250, 61, np.uint8)
+    """Classes of code points: a-z, single accented letters, blank, digit, sentence mark, other Latin letter, other; 64 to 223 letters of the alphabets
+    from Greek to Arabic, one each but for rare ones; 224 to 255 blocks of 256 further code points."""
+    out = np.full(0x30000, 61, np.uint8)
     accents = "àâäçèéêëîïôöùûüÿœæßáíóúñìòåøãõ"
-    for c in range(0x250):
+    for c in range(0x30000):
         ch = chr(c).lower()[0]
         if "a" <= ch <= "z":
             out[c] = ord(ch) - 97
@@ -52,7 +56,8 @@ def _table() -> np.ndarray:
         elif ch in ".,;:!?'\"-()":
             out[c] = 60
         elif ch.isalpha():
-            out[c] = 62
+            low = ord(ch)
+            out[c] = 62 if low < 0x370 else 64 + low % 160 if low < 0x700 else 224 + (low >> 8) % 32
     return out
 
 
@@ -63,8 +68,8 @@ def bigrams(text: str | None) -> tuple[np.ndarray, int]:
     """(class-bigram codes that touch a letter, number of letters) of a text."""
     if not text:
         return np.zeros(0, np.int64), 0
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    k = np.where(codes < 0x250, TABLE[np.minimum(codes, 0x24F)], 63).astype(np.int64)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    k = TABLE[np.minimum(codes, 0x2FFFF)].astype(np.int64)
     letter = (k < 58) | (k >= 62)
     pair = letter[:-1] | letter[1:]
     return (k[:-1] * WIDTH + k[1:])[pair], int(letter.sum())
@@ -80,7 +85,11 @@ class TextModel:
         if not len(codes):
             return np.zeros(len(self.langs)), 0
         n = len(codes)
-        total = self.logp[:, codes].sum(1) if n < 400 else self.logp @ np.bincount(codes, minlength=WIDTH * WIDTH)
+        if n < 400:
+            total = self.logp[:, codes].sum(1)
+        else:
+            used, k = np.unique(codes.astype(np.uint16), return_counts=True)
+            total = self.logp[:, used] @ k
         return total / n * (EVIDENCE * n / (EVIDENCE + n)), letters
 
 
@@ -99,7 +108,7 @@ def fit_text(docs: DataFrame, max_rows: int = MAX_ROWS, text: str = "text", lang
             for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 codes, _ = bigrams(t)
                 if len(codes):
-                    part = np.bincount(codes, minlength=WIDTH * WIDTH) / len(codes) * min(len(codes), 2000)
+                    part = np.bincount(codes, minlength=WIDTH * WIDTH) / (1 + len(codes) / SATURATION)
                     sums[name] = sums.get(name, 0) + part
         for name, v in sums.items():
             at = np.flatnonzero(v)
@@ -108,12 +117,12 @@ def fit_text(docs: DataFrame, max_rows: int = MAX_ROWS, text: str = "text", lang
     got = rows.mapInArrow(run, "lang string, code int, n double").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     langs, logs = [], []
     for name, part in sorted(got.groupby("lang")):
-        v = np.full(WIDTH * WIDTH, 0.05)
+        v = np.full(WIDTH * WIDTH, 0.01)
         v[part.code.to_numpy()] += np.round(part.n.to_numpy(), 6)
         langs.append(name)
         logs.append(np.log(v / v.sum()))
     langs.append(UND)
-    logs.append(np.full(WIDTH * WIDTH, -math.log(WIDTH * WIDTH)))
+    logs.append(np.full(WIDTH * WIDTH, -math.log(4096)))
     return TextModel(langs, np.array(logs))
 
 
@@ -238,9 +247,12 @@ def identify_documents(docs: DataFrame, model: TextModel | None = None) -> DataF
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """`docs` without the documents of no known language. A doc_id goes when all its rows are rejected; rows of null doc_id stay."""
+    """`docs` without the documents of no known language, and with `lang` as identified where that differs from the declared one. A doc_id goes when all
+    its rows are rejected, and has the language of its surest row; rows of null doc_id stay as they are."""
     found = identify_documents(docs)
-    mark = free_name(docs, "rejected")
-    lost = found.groupBy("doc_id").agg(F.bool_or("keep").alias("keep")).where("not keep").select(F.col("doc_id").alias(mark))
-    lost = sized(materialize(lost, "langrejects"), 16)
-    return docs.join(lost, docs["doc_id"] == lost[mark], "left_anti")
+    per = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("keep").alias("keep"), F.max(F.when(F.col("keep") & (F.col("lang") != UND), F.struct("posterior", "lang")))["lang"].alias("now"), F.max("declared").alias("was"), F.min("declared").alias("was_too"))
+    per = per.where("not keep or (now is not null and (was is null or now <> was or was <> was_too))")
+    key, keep, now = (free_name(docs, x) for x in ("rejected", "keep", "now"))
+    news = sized(materialize(per.select(F.col("doc_id").alias(key), F.col("keep").alias(keep), F.col("now").alias(now)), "langnews"), 40)
+    both = docs.join(news, docs["doc_id"] == news[key], "left").where(F.coalesce(F.col(keep), F.lit(True)))
+    return both.select(*[F.coalesce(F.col(now), docs["lang"]).alias(c) if c == "lang" else docs[c] for c in docs.columns])

@@ -395,17 +395,41 @@ def test_divergence_against_plain_python(docs, texts):
     refs = divergence.fit_references(docs)
     lang = {r.doc_id: r.lang for r in docs.collect()}
     ok = {k for k, t in texts.items() if len(t) >= divergence.MIN_CHARS and len(words(t)) >= divergence.MIN_WORDS}
-    for name in ("en", "fr"):
-        if name not in refs.chars:
-            continue
+    mean = {}
+    for k in ok:
+        for w, n in Counter(words(texts[k])).items():
+            mean[w] = mean.get(w, 0) + n / len(words(texts[k])) / len(ok)
+
+    def kind(ch):
+        if ch in "aeiou" or "a" <= ch <= "z":
+            return "vowel" if ch in "aeiou" else "consonant"
+        if ch.isalpha():
+            return "upper" if ch.isupper() else "letter"
+        if ch.isdigit() or ch == "\n":
+            return "digit" if ch.isdigit() else "line"
+        return "space" if ch.isspace() else "stop" if ch in ".,;:!?'\"()-" else "symbol"
+
+    def classes(t):
+        c = Counter(map(kind, t))
+        return [c[x] / len(t) for x in divergence.CLASSES]
+
+    def js(p, q):
+        kl = lambda a, m: sum(x * math.log2(x / y) for x, y in zip(a, m, strict=True) if x > 1e-15)
+        m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+        return math.sqrt(max(0, (kl(p, m) + kl(q, m)) / 2))
+
+    mean_chars = np.mean([classes(texts[k]) for k in ok], axis=0)
+    by_class = {}
+    for name in {lang[k] for k in ok}:
         mine = [k for k in ok if lang[k] == name]
         share = Counter()
         for k in mine:
             for w, n in Counter(words(texts[k])).items():
-                share[w] += n / len(words(texts[k])) / len(mine)
+                share[w] += n / len(words(texts[k]))
         for w, s in zip(refs.words[name], refs.shares[name], strict=False):
-            assert math.isclose(share[w], s, rel_tol=1e-9)
+            assert math.isclose((share[w] + divergence.PRIOR * mean[w]) / (len(mine) + divergence.PRIOR), s, rel_tol=1e-9)
         assert refs.words[name][0] == max(share, key=lambda w: (share[w], w))
+        by_class[name] = (np.sum([classes(texts[k]) for k in mine], axis=0) + divergence.PRIOR * mean_chars) / (len(mine) + divergence.PRIOR)
     for r in divergence.judge(docs, refs).collect():
         assert (r.word_distance is None) == (r.doc_id not in ok)
         if r.doc_id in ok:
@@ -415,15 +439,31 @@ def test_divergence_against_plain_python(docs, texts):
             p = [c[w] / n for w in refs.words[name]]
             p.append(1 - sum(p))
             q = refs.shares[name]
-            kl = lambda a, m: sum(x * math.log2(x / y) for x, y in zip(a, m, strict=True) if x > 1e-15)
-            m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
-            assert math.isclose(r.word_distance, math.sqrt(max(0, (kl(p, m) + kl(q, m)) / 2)), abs_tol=1e-7)
+            assert math.isclose(r.word_distance, js(p, q), abs_tol=1e-7)
+            assert math.isclose(r.char_distance, js(classes(texts[r.doc_id]), by_class[name]), abs_tol=1e-7)
             assert r.keep == (r.char_distance <= divergence.CHAR_LIMIT and r.word_distance <= divergence.WORD_LIMIT)
 
 
+def test_junk_does_not_shift_the_references(spark):
+    """References come from documents that are labelled good: as much junk as text changes nothing, and languages of any size are judged by one rule."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"word{chr(97 + i)}" for i in range(26)]
+    good = [(i, " ".join(rng.choice(vocabulary, 80)), "en") for i in range(30)]
+    junk = [(100 + i, "$$$ ### @@ 1234 " * 40, "en") for i in range(60)]
+    one = [(300, " ".join(rng.choice(vocabulary, 80)), "yy")]
+    docs = spark.createDataFrame(good + junk + one, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(g[0], 1) for g in good] + [(j[0], 0) for j in junk[:5]], "doc_id long, quality int")
+    got = {r.doc_id: r for r in divergence.judge(docs, labels=labels).collect()}
+    clean = {r.doc_id: r for r in divergence.judge(docs.where("doc_id < 100")).collect()}
+    assert all(math.isclose(got[g[0]].word_distance, clean[g[0]].word_distance) for g in good)
+    assert all(got[g[0]].keep for g in good + one) and not any(got[j[0]].keep for j in junk)
+    few = divergence.fit_references(docs.where("doc_id = 300"))
+    assert set(few.chars) == {"yy", divergence.ALL}
+
+
 def test_rules_keep_labelled_good_documents(spark):
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    j = divergence.judge(d).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    j = divergence.judge(d, labels=labels).join(labels, "doc_id").toPandas()
     assert j[j.quality == 1].keep.mean() > 0.99
     assert j[j.quality == 0].keep.mean() < 0.6
 
@@ -462,6 +502,91 @@ def test_a_rare_language_keeps_its_rows(spark):
     assert (few.logp[0] == langid.fit_text(docs.where("lang = 'de'")).logp[0]).all()
 
 
+def brute_language(rows, train, suffix_of):
+    """key: (lang, posterior) of (key, host, domain, declared, suffix, text) rows, by plain loops."""
+    width = langid.WIDTH
+
+    def codes(text):
+        k = [int(langid.TABLE[min(ord(c), 0x2FFFF)]) for c in text or ""]
+        letter = [x < 58 or x >= 62 for x in k]
+        return [a * width + b for a, b, x, y in zip(k, k[1:], letter, letter[1:], strict=False) if x or y], sum(letter)
+
+    counts = defaultdict(Counter)
+    for text, lang in train:
+        if text is not None and lang is not None:
+            c, _ = codes(text)
+            for x, n in Counter(c).items():
+                counts[lang.lower()][x] += n / (1 + len(c) / langid.SATURATION)
+    langs = sorted(k for k, c in counts.items() if c)
+    total = {k: sum(round(x, 6) for x in counts[k].values()) + 0.01 * width * width for k in langs}
+    logp = {k: (lambda x, k=k: math.log((0.01 + round(counts[k][x], 6)) / total[k])) for k in langs} | {langid.UND: lambda x: -math.log(4096)}
+    names = [*langs, langid.UND]
+    like, letters, best = {}, {}, {}
+    for key, *_, text in rows:
+        c, letters[key] = codes(text)
+        n, t = len(c), Counter(c)
+        like[key] = [sum(m * logp[x](y) for y, m in t.items()) / n * (langid.EVIDENCE * n / (langid.EVIDENCE + n)) if n else 0.0 for x in names]
+        best[key] = names[int(np.argmax(like[key]))] if letters[key] else None
+    host_n, dom_n, all_n = defaultdict(Counter), defaultdict(Counter), Counter()
+    for key, host, domain, *_ in rows:
+        if best[key]:
+            host_n[host, domain][best[key]] += 1
+            dom_n[domain][best[key]] += 1
+            all_n[best[key]] += 1
+    out, k = {}, langid.K
+    for key, host, domain, declared, suffix, _ in rows:
+        score = []
+        for i, x in enumerate(names):
+            p = (all_n[x] + 1) / (sum(all_n.values()) + len(names))
+            p = (dom_n[domain][x] + k * p) / (sum(dom_n[domain].values()) + k)
+            p = (host_n[host, domain][x] + k * p) / (sum(host_n[host, domain].values()) + k)
+            s = like[key][i] + math.log(p)
+            for said, sure in ((declared, langid.P_DECLARED), (suffix, langid.P_SUFFIX)):
+                if said in langs:
+                    s += math.log(sure if said == x else (1 - sure) / (len(names) - 1))
+            score.append(-1e9 if x == langid.UND and not letters[key] else s)
+        e = np.exp(np.array(score) - max(score))
+        out[key] = (names[int(np.argmax(score))], float(max(e / e.sum())))
+    return out
+
+
+def test_language_queries_against_brute_force(spark, docs):
+    rows = docs.collect()
+    train = [(r.text, r.lang) for r in rows]
+    want = brute_language([(r.doc_id, r.source, None, r.lang.lower(), None, r.text) for r in rows], train, None)
+    got = {r.doc_id: r for r in queries.op7_language_id(spark, SF).collect()}
+    assert {k: r.lang for k, r in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(math.isclose(got[k].posterior, v[1], rel_tol=1e-6) for k, v in want.items())
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    want = brute_language([(r.page_id, *langid.page_parts(r.url, r.html)) for r in pages], train, None)
+    got = {r.page_id: r for r in queries.op7_language_id_pages(spark, SF).collect()}
+    assert {k: r.lang for k, r in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(math.isclose(got[k].posterior, v[1], rel_tol=1e-6) for k, v in want.items())
+
+
+def test_scripts_beyond_latin(spark):
+    """Languages of one script are told apart by its letters."""
+    rng, rows, ranges = np.random.default_rng(8), [], {"el": (0x3B1, 24), "ru": (0x430, 32), "uk": (0x430, 32), "ar": (0x627, 30), "zh": (0x4E00, 900), "ko": (0xAC00, 900)}
+    for name, (base, n) in ranges.items():
+        p = np.random.default_rng(len(name) + sum(map(ord, name))).dirichlet(np.full(n, 0.3))
+        for _ in range(30):
+            rows.append((len(rows), " ".join("".join(chr(base + i) for i in rng.choice(n, 5, p=p)) for _ in range(30)), name, name))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = langid.fit_text(docs.where("doc_id % 2 = 0"))
+    got = {r.doc_id: r.text_lang for r in langid.identify_documents(docs.where("doc_id % 2 = 1").withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit("s")), model).collect()}
+    assert all(got[r[0]] == r[2] for r in rows if r[0] % 2)
+
+
+def test_identified_languages_are_handed_on(spark):
+    """Rows that are declared wrong leave the stage with their own language, and are judged by it."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars > 400")
+    wrong = d.withColumn("lang", F.when((F.col("lang") == "fr") & (F.col("doc_id") % 10 == 1), "en").otherwise(F.col("lang")))
+    out = langid.keep_known(wrong)
+    assert out.columns == d.columns
+    back = out.join(d.select("doc_id", F.col("lang").alias("meant")), "doc_id").where("meant = 'fr' and doc_id % 10 = 1")
+    assert back.count() > 3 and back.where("lang = 'fr'").count() > 0.9 * back.count()
+
+
 def test_page_parts():
     assert langid.page_parts("http://a.b.example.org/fr/1", '<html lang="FR-ca"><script>x</script><p>hi &amp; ho</p>')[:4] == ("a.b.example.org", "example.org", "fr", "fr")
     assert urlparse("http://a").hostname == langid.page_parts("http://a", None)[0]
