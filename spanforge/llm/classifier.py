@@ -17,12 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tokens, arrow_batches, hash_words, materialize, mix64, sized
 
-BUCKETS, DIM, NONZERO, WINDOW = 1 << 17, 64, 4, 2
+BUCKETS, PART, DIM, NONZERO, WINDOW = 1 << 17, 1 << 10, 64, 4, 2
 HIDDEN, STEPS, MAX_LABELS = 24, 6_000, 20_000
 HOLD_OUT = 0.2
 KEEP = 0.5
@@ -66,26 +67,29 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         for b in arrow_batches(batches):
             used, sums = context_sums(Tokens(b.column(0), trim=False), place, sign)
             total[used] += sums.astype(np.int32)
-        at = np.flatnonzero(total.any(1))
-        for s in range(0, len(at), 2048):
-            pick = at[s : s + 2048]
-            yield pa.RecordBatch.from_arrays([pa.array(pick // 1024), pa.array(pick), pa.array([v.tobytes() for v in total[pick]], pa.binary())], ["part", "bucket", "v"])
+        # blocks of buckets, mostly zeros and small numbers, are sent compressed
+        blocks = total.reshape(-1, PART * DIM)
+        some = np.flatnonzero(blocks.any(1))
+        for k in some:
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([zstandard.compress(blocks[k].tobytes(), 1)], pa.binary())], ["part", "v"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                v = np.frombuffer(v, np.int32).astype(np.int64)
-                sums[k] = sums[k] + v if k in sums else v
-        # only the direction counts from here on
-        rows = [(v / max(np.linalg.norm(v), 1e-9)).astype(np.float32).tobytes() for v in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(rows, pa.binary())], ["bucket", "v"])
-
-    sent = docs.select("text").mapInArrow(run, "part long, bucket long, v binary").repartition(BUCKETS // 1024, "part")
-    got = sent.mapInArrow(add, "bucket long, v binary").toPandas()
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                v = np.frombuffer(zstandard.decompress(v), np.int32)
+                sums[k] = sums[k] + v if k in sums else v.astype(np.int64)
+        for k, v in sums.items():
+            # only the direction counts from here on
+            v = v.reshape(PART, DIM)
+            unit = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([unit.tobytes()], pa.binary())], ["part", "v"])
+
+    sent = docs.select("text").mapInArrow(run, "part long, v binary").repartition(BUCKETS // PART, "part")
+    got = sent.mapInArrow(add, "part long, v binary").collect()
     unit = np.zeros((BUCKETS, DIM), np.float32)
-    for k, v in zip(got.bucket, got.v, strict=True):
-        unit[k] = np.frombuffer(v, np.float32)
+    for r in got:
+        unit[r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.v, np.float32).reshape(PART, DIM)
     seen = unit.any(1)
     if seen.any():
         unit[seen] -= unit[seen].mean(0)

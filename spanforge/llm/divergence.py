@@ -3,7 +3,7 @@
 A document's character-class histogram and its histogram over the language's common words are compared with
 the language's references by Jensen-Shannon distance (base 2, 0 to 1). References are means of the documents' own distributions, over
 documents of the language that pass the length guards: those labelled good where there are labels, else all. Each language's means are
-smoothed by PRIOR documents of the mean of all languages, whatever its size; common words are those of the largest mean share. A document is
+smoothed by PRIOR documents of the mean of all languages, whatever its size; common words are the COMMON_WORDS of the largest mean share, among those of WORD_SHARE or more. A document is
 rejected if it is long enough to be judged and either distance is over its limit.
 
 Defined results: null, empty or short text is not judged (null distances) and kept; text is read whole; repeated rows weigh
@@ -27,7 +27,7 @@ CLASSES = ["vowel", "consonant", "upper", "letter", "digit", "space", "line", "s
 MIN_CHARS, MIN_WORDS = 200, 40
 #: Documents that the mean of all languages weighs in each language's references.
 PRIOR = 2.0
-COMMON_WORDS, WORD_SHARE = 40, 0.004
+COMMON_WORDS, WORD_SHARE = 40, 0.002
 CHAR_LIMIT, WORD_LIMIT = 0.25, 0.36
 ALL = "\0all"
 
@@ -175,7 +175,7 @@ def fit_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> R
         n = 0.0 if name == ALL else counts[name]
         v = {} if name == ALL else shares_of.get(name, {})
         share = {w: (v.get(w, 0.0) + PRIOR * mean_words[w]) / (n + PRIOR) for w in every}
-        words[name] = sorted((w for w in every if share[w] > 0), key=lambda w: (-round(share[w], 9), w))[:COMMON_WORDS]
+        words[name] = sorted((w for w in every if round(share[w], 9) >= WORD_SHARE), key=lambda w: (-round(share[w], 9), w))[:COMMON_WORDS]
         known = np.array([share[w] for w in words[name]])
         shares[name] = np.append(known, max(0.0, 1 - known.sum()))
         c = (0 if name == ALL else chars[name]) + PRIOR * mean_chars
