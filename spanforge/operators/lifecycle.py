@@ -46,6 +46,42 @@ def stale_examples(gold: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame
     return g.where("missing > 0 or changed > 0")
 
 
+def stale_refs(gold: DataFrame, diff: DataFrame) -> DataFrame:
+    """L3: (query_id, missing, changed): sorted refs of each example that a revision diff removed or changed, as they are named (no ranges)."""
+    hit = gold.join(diff.where("state in ('removed', 'changed')"), "ref")
+    refs = lambda s: F.sort_array(F.array_compact(F.collect_list(F.when(F.col("state") == s, F.col("ref")))))
+    return hit.groupBy("query_id").agg(refs("removed").alias("missing"), refs("changed").alias("changed"))
+
+
+def manifest_counts(diff: DataFrame) -> DataFrame:
+    """One row of counts of a revision diff, with the share of old refs that are gone or changed."""
+    n = {s: F.count_if(F.col("state") == s).alias(s) for s in ("added", "removed", "changed", "unchanged")}
+    d = diff.agg(*n.values())
+    return d.withColumn("churn", F.round((F.col("removed") + F.col("changed")) / F.greatest(F.col("removed") + F.col("changed") + F.col("unchanged"), F.lit(1)), 6))
+
+
+def diff_status(counts: DataFrame, maximum: dict[str, float]) -> DataFrame:
+    """Per metric pass or fail against a maximum."""
+    rows = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(float(v)).alias("maximum")) for m, v in maximum.items()]
+    return counts.select(F.explode(F.array(*rows)).alias("x")).select("x.*").withColumn("status", F.when(F.col("value") <= F.col("maximum"), "pass").otherwise("fail"))
+
+
+def revisions_diff(old: DataFrame, revisions: DataFrame) -> DataFrame:
+    """One old corpus against many new ones (a `revision` column), all in one join: counts per revision and state."""
+    a = old.select("ref", T.region_hash(F.col("text")).alias("ha"))
+    names = revisions.select("revision").distinct()
+    a = a.crossJoin(F.broadcast(names))
+    b = revisions.select("revision", "ref", T.region_hash(F.col("text")).alias("hb"))
+    state = F.when(F.col("ha").isNull(), "added").when(F.col("hb").isNull(), "removed").when(F.col("ha") != F.col("hb"), "changed").otherwise("unchanged")
+    return a.join(b, ["revision", "ref"], "full_outer").groupBy("revision", state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def method_totals(outcomes: DataFrame, by: str = "artifact") -> DataFrame:
+    """Counts of several artifacts summed first and divided then, so that large ones weigh by their labels."""
+    n = outcomes.groupBy("method", "outcome").agg(F.count("*").alias("n"), F.countDistinct(by).alias("artifacts"))
+    return n.withColumn("rate", F.round(F.col("n") / F.sum("n").over(W.partitionBy("method")), 4))
+
+
 def _overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     """(ref, cand, shared, n, m): shared tokens of every pair that has some."""
     x = a.select("ref", F.size("tok").alias("n"), F.explode("tok").alias("t"))

@@ -245,7 +245,7 @@ def x_rrf(s, d):
 
 
 def _summary_field(s, d):
-    return M.line_regions(s, d).withColumn("text", T.first_words(F.col("text"), 12))
+    return M.line_regions(s, d).withColumn("text", T.first_words(F.col("text")))
 
 
 @query
@@ -457,7 +457,7 @@ def d_oversized(s, d):
 
 @query
 def d_conflicts(s, d):
-    return smells.conflicts(M.line_regions(s, d), M.LEXICON, M.PAIRS, 3)
+    return smells.conflicts(M.line_regions(s, d), M.LEXICON, M.PAIRS)
 
 
 @query
@@ -465,21 +465,27 @@ def d_index_smells(s, d):
     return smells.index_smells(M.line_regions(s, d), M.LEXICON, M.PAIRS)
 
 
+def _run_smells(s, d, results=None):
+    stale = lifecycle.stale_refs(M.gold(s, d), lifecycle.revision_diff(M.old(s, d), M.new(s, d)))
+    return smells.run_smells(M.results(s, d) if results is None else results, M.line_regions(s, d), M.gold(s, d), stale=stale, lexicon=M.LEXICON, pairs=M.PAIRS)
+
+
 @query
 def d_run_smells(s, d):
-    return smells.run_smells(M.results(s, d), M.line_regions(s, d), M.gold(s, d))
+    return _run_smells(s, d)
 
 
 @query
 def d_adaptation_plan(s, d):
-    return smells.adaptation_plan(smells.run_smells(M.results(s, d), M.line_regions(s, d), M.gold(s, d)))
+    return smells.adaptation_plan(_run_smells(s, d))
 
 
 @query
 def d_compare_reports(s, d):
-    r, g, e = M.line_regions(s, d), M.gold(s, d), M.examples(s, d)
+    g, e = M.gold(s, d), M.examples(s, d)
     h = M.strategy_hits(s, d)
-    a, b = (smells.run_smells(evaluation.evaluate(h[k], g, e), r, g) for k in ("flat", "reranked"))
+    mode = F.when(F.col("n_gold") <= 1, "single").otherwise("distributed")
+    a, b = (_run_smells(s, d, evaluation.evaluate(h[k], g, e).withColumn("mode", mode)) for k in ("flat", "reranked"))
     return smells.compare(a, b)
 
 

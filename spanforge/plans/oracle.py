@@ -234,7 +234,7 @@ S["x_area_router"] = sql([*BM, *group_ctes("source", 3)], "SELECT query_id, rank
 S["x_rerank"] = sql([*BM, *RERANK], "SELECT query_id, rank, ref, round(score, 6) AS score FROM again")
 S["x_tfidf"] = sql([*BM[:4], *TFIDF], "SELECT query_id, rank, ref, round(score, 6) AS score FROM cr WHERE rank <= 10")
 S["x_rrf"] = sql([*BM, *RERANK], fuse([("hits", 1.0), ("again", 0.5)]))
-FIELD = [f"ftok AS (SELECT ref, regexp_extract_all(lower(array_to_string(string_split({SQUEEZED.format('text')}, ' ')[1:12], ' ')), '{WORD}') AS t FROM regions)",
+FIELD = [f"ftok AS (SELECT ref, regexp_extract_all(lower(array_to_string(string_split({SQUEEZED.format('text')}, ' ')[1:42], ' ')), '{WORD}') AS t FROM regions)",
     "ftf AS (SELECT ref, len, token, count(*) AS tf FROM (SELECT ref, len(t) AS len, unnest(t) AS token FROM ftok) GROUP BY ALL)", "fst AS (SELECT count(*) AS n, avg(len(t)) AS avg_len FROM ftok)",
     "fidf AS (SELECT token, ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM ftf, fst GROUP BY token)",
     """frank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ref) AS rank FROM (
@@ -318,25 +318,38 @@ S["d_exact_duplicates"] = sql(["regions", "tok", "n AS (SELECT ref, doc_id, arra
 NEAR = [f"sets AS (SELECT ref, t FROM (SELECT ref, {smell_terms('text')} AS t FROM regions) WHERE len(t) >= 6)",
     "nd AS (SELECT a, b, shared / (an + bn - shared) AS jaccard, shared / least(an, bn) AS containment FROM (SELECT x.ref AS a, y.ref AS b, any_value(x.n) AS an, any_value(y.n) AS bn, count(*) AS shared FROM (SELECT ref, len(t) AS n, unnest(t) AS term FROM sets) x JOIN (SELECT ref, len(t) AS n, unnest(t) AS term FROM sets) y ON x.term = y.term AND x.ref < y.ref GROUP BY x.ref, y.ref) WHERE shared / (an + bn - shared) >= 0.86 OR shared / least(an, bn) >= 0.94)"]
 S["d_near_duplicates"] = sql(["regions", *NEAR], "SELECT a AS left_ref, b AS right_ref, round(jaccard, 4) AS jaccard, round(containment, 4) AS containment FROM nd")
-OVER = ["sz AS (SELECT ref, greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) AS tokens FROM regions)", "md AS (SELECT quantile_cont(tokens, 0.5) AS median FROM sz)", "ov AS (SELECT ref, tokens, median FROM sz, md WHERE tokens > greatest(900.0, 3.5 * median))"]
-S["d_oversized"] = sql(["regions", *OVER], "SELECT * FROM ov")
+OVER = ["sz AS (SELECT ref, CAST(len(t) AS BIGINT) AS tokens FROM tok)", "md AS (SELECT quantile_cont(tokens, 0.5) AS median FROM sz)", "ov AS (SELECT ref, tokens, median FROM sz, md WHERE tokens > greatest(900.0, 3.5 * median))"]
+S["d_oversized"] = sql(["regions", "tok", *OVER], "SELECT * FROM ov")
 CNF = [f"cf AS (SELECT ref, t, cues, list_filter(t, lambda x: length(x) >= 5)[1:8] AS topic FROM (SELECT ref, {smell_terms('text')} AS t, {cues('text', M.LEXICON)} AS cues FROM regions) WHERE len(cues) > 0)",
     f"cp AS (SELECT a.ref AS left_ref, b.ref AS right_ref, a.cues AS lc, b.cues AS rc FROM cf a JOIN cf b ON a.topic = b.topic AND a.ref < b.ref AND len(a.topic) > 0 AND {opposed('a.cues', 'b.cues', M.PAIRS)} AND len(list_intersect(a.t, b.t)) >= SHARED)"]
-S["d_conflicts"] = sql(["regions", *[c.replace("SHARED", "3") for c in CNF]], "SELECT left_ref, right_ref, array_to_string(lc, ',') AS left_cues, array_to_string(rc, ',') AS right_cues FROM cp")
+S["d_conflicts"] = sql(["regions", *[c.replace("SHARED", "5") for c in CNF]], "SELECT left_ref, right_ref, array_to_string(lc, ',') AS left_cues, array_to_string(rc, ',') AS right_cues FROM cp")
 MARK = " OR ".join(f"contains(h, '{m}')" for m in T.LEDGER_MARKS)
 LEDG = " + ".join(f"contains(h, '{m}')::INT" for m in T.LEDGER_TERMS)
-MAG = f"mag AS (SELECT ref FROM (SELECT ref, lower(doc_id || ' ' || substr(text, 1, 240)) AS h FROM regions) WHERE {MARK} OR {LEDG} >= 3)"
+MAG = f"mag AS (SELECT ref FROM (SELECT ref, lower(doc_id || ' ' || array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:42], ' ') || ' ' || substr(text, 1, 240)) AS h FROM regions) WHERE {MARK} OR {LEDG} >= 3)"
 W_ = smells.WEIGHTS
-S["d_index_smells"] = sql(["regions", "tok", MAG, *OVER, *NEAR, *[c.replace("SHARED", "5") for c in CNF], "dup AS (SELECT array_to_string(t, ' ') AS norm FROM tok WHERE length(array_to_string(t, ' ')) >= 40 GROUP BY norm HAVING count(*) > 1)",
-    "cn AS (SELECT (SELECT count(*) FROM regions) AS regions, (SELECT count(*) FROM mag) AS query_magnets, (SELECT count(*) FROM ov) AS oversized, (SELECT count(*) FROM dup) AS exact_duplicates, (SELECT count(*) FROM nd) AS near_duplicates, (SELECT count(*) FROM cp) AS conflicts)",
-    "scd AS (SELECT *, round(least(" + " + ".join(f"least({k} / regions, 1.0) * {W_[k]}" for k in ("query_magnets", "oversized", "exact_duplicates", "near_duplicates", "conflicts")) + ", 1.0), 4) AS score FROM cn)"],
+SPARSE = f"spr AS (SELECT ref FROM tok WHERE len(list_filter(t, lambda x: length(x) > 2 AND x NOT IN ({', '.join(chr(39) + w + chr(39) for w in T.KEYWORD_STOP)}))) = 0)"
+S["d_index_smells"] = sql(["regions", "tok", MAG, SPARSE, *OVER, *NEAR, *[c.replace("SHARED", "5") for c in CNF], "dup AS (SELECT array_to_string(t, ' ') AS norm FROM tok WHERE length(array_to_string(t, ' ')) >= 40 GROUP BY norm HAVING count(*) > 1)",
+    "cn AS (SELECT (SELECT count(*) FROM regions) AS regions, (SELECT count(*) FROM mag) AS query_magnets, (SELECT count(*) FROM ov) AS oversized, (SELECT count(*) FROM spr) AS sparse, (SELECT count(*) FROM dup) AS exact_duplicates, (SELECT count(*) FROM nd) AS near_duplicates, (SELECT count(*) FROM cp) AS conflicts)",
+    "scd AS (SELECT *, round(least(" + " + ".join(f"least({k} / regions, 1.0) * {W_[k]}" for k in ("query_magnets", "oversized", "sparse", "exact_duplicates", "near_duplicates", "conflicts")) + ", 1.0), 4) AS score FROM cn)"],
     "SELECT *, CASE WHEN score >= 0.35 THEN 'high' WHEN score >= 0.12 THEN 'medium' WHEN score > 0 THEN 'low' ELSE 'clean' END AS severity FROM scd")
 
 
+STALE = ["old", "new", f"""dfs AS (SELECT ref, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' WHEN a.h <> b.h THEN 'changed' ELSE 'unchanged' END AS state
+FROM (SELECT ref, {rhash("text")} AS h FROM old) a FULL OUTER JOIN (SELECT ref, {rhash("text")} AS h FROM new) b USING (ref))""",
+    "stl AS (SELECT query_id, coalesce(list(ref ORDER BY ref) FILTER (state = 'removed'), []) AS missing, coalesce(list(ref ORDER BY ref) FILTER (state = 'changed'), []) AS changed FROM gold JOIN dfs USING (ref) WHERE state IN ('removed', 'changed') GROUP BY query_id)"]
+
+
 def run_smells(res: str, name: str) -> list[str]:
     stop = ", ".join(f"'{w}'" for w in T.SMELL_STOP)
     heat, conf = HEAT.replace("FROM res", f"FROM {res}").replace("heat AS", f"heat{name} AS"), CONF.replace("FROM res", f"FROM {res}").replace("conf AS", f"conf{name} AS")
-    return [heat, conf, f"""sm{name} AS (
+    low = f"list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]{{4,}}'), lambda x: x NOT IN ({stop})))"
+    against = [
+        f"ct{name} AS (SELECT ref, t, cues FROM (SELECT ref, {low} AS t, {cues('text', M.LEXICON)} AS cues FROM regions) WHERE len(t) >= 5 AND len(cues) > 0)",
+        f"cu{name} AS (SELECT ref, cues, unnest(t) AS term FROM ct{name})",
+        f"""cd{name} AS (SELECT a.ref AS l, b.ref AS r, count(*) AS shared FROM cu{name} a JOIN cu{name} b ON a.term = b.term AND a.ref < b.ref AND {opposed('a.cues', 'b.cues', M.PAIRS)}
+  GROUP BY ALL HAVING count(*) >= 5 ORDER BY l, r LIMIT 20)""",
+    ]
+    return [*STALE, heat, conf, *against, f"""sm{name} AS (
   SELECT 'hard_ref' AS type, CASE WHEN miss_at_k = n THEN 'high' ELSE 'medium' END AS severity, ref AS refs, miss_at_k AS n FROM heat{name} WHERE miss_at_k > 0
   UNION ALL SELECT 'confusion_pair', CASE WHEN n >= 3 THEN 'high' ELSE 'medium' END, gold_ref || ',' || top_ref, n FROM conf{name}
   UNION ALL SELECT 'query_style_gap', CASE WHEN gap >= 0.5 THEN 'high' ELSE 'medium' END, '', 1 FROM (SELECT max(v) - min(v) AS gap FROM (SELECT avg(hit_at_1::INT) AS v FROM {res} GROUP BY style)) WHERE gap >= 0.25
@@ -344,6 +357,9 @@ def run_smells(res: str, name: str) -> list[str]:
   UNION ALL SELECT 'overcitation', 'medium', '', count(*) FROM {res} WHERE common_refs < n_context AND {PRE} < 0.5 HAVING count(*) > 0
   UNION ALL SELECT 'low_confidence', 'medium', '', count(*) FROM {res} WHERE margin_ratio < 0.08 HAVING count(*) > 0
   UNION ALL SELECT 'query_magnet', 'medium', top_ref, count(*) FROM {res} WHERE top_ref IS NOT NULL GROUP BY top_ref HAVING count(*) >= greatest(4, floor((SELECT count(*) FROM {res}) * 0.15)) AND avg(hit_at_1::INT) < 0.8
+  UNION ALL SELECT 'stale_label', CASE WHEN len(missing) > 0 THEN 'high' ELSE 'medium' END, array_to_string(list_concat(changed, missing), ','), len(changed) + len(missing) FROM stl
+  UNION ALL SELECT 'gold_mode_gap', 'medium', weakest, 1 FROM (SELECT max(v) - min(v) AS gap, arg_min(mode, {{'v': v, 'm': mode}}) AS weakest, count(*) AS n FROM (SELECT mode, avg({COV}) AS v FROM {res} GROUP BY mode)) WHERE n > 1 AND gap >= 0.25
+  UNION ALL SELECT 'contradictory_support', 'medium', l || ',' || r, shared FROM cd{name}
   UNION ALL SELECT 'duplicate_support', 'medium', min(ref), count(*) FROM (SELECT ref, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) >= 4 AND x NOT IN ({stop})), ' ') AS w FROM regions) WHERE length(w) >= 40 GROUP BY w HAVING count(*) > 1
   UNION ALL SELECT 'uncovered_region', CASE WHEN n / total >= 0.4 THEN 'medium' ELSE 'low' END, '', n FROM (SELECT count(*) FILTER (ref NOT IN (SELECT ref FROM gold)) AS n, count(*) AS total FROM regions) WHERE n > 0)"""]
 
@@ -351,7 +367,7 @@ def run_smells(res: str, name: str) -> list[str]:
 S["d_run_smells"] = sql([*EV, *run_smells("res", "1")], "SELECT type, severity, refs, CAST(n AS BIGINT) AS n FROM sm1")
 RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in smells.RULES) + ") r(type, action, adaptation_type))"
 S["d_adaptation_plan"] = sql([*EV, *run_smells("res", "1"), RULES], "SELECT DISTINCT action, adaptation_type, CASE WHEN severity = 'high' THEN 'high' ELSE 'medium' END AS priority, refs FROM sm1 JOIN rules USING (type)")
-S["d_compare_reports"] = sql([*ALL3, *run_smells("res1", "1"), *run_smells("res3", "2"), "j AS (SELECT type, refs, a.x, b.y FROM (SELECT DISTINCT type, refs, 1 AS x FROM sm1) a FULL OUTER JOIN (SELECT DISTINCT type, refs, 1 AS y FROM sm2) b USING (type, refs))"],
+S["d_compare_reports"] = sql([*ALL3, *run_smells("res1", "1"), *run_smells("res3", "2")[len(STALE) :], "j AS (SELECT type, refs, a.x, b.y FROM (SELECT DISTINCT type, refs, 1 AS x FROM sm1) a FULL OUTER JOIN (SELECT DISTINCT type, refs, 1 AS y FROM sm2) b USING (type, refs))"],
     "SELECT type, count(*) FILTER (x IS NULL) AS new, count(*) FILTER (y IS NULL) AS resolved, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS persistent FROM j GROUP BY type")
 
 FE = ["fe AS (SELECT event_id, ts, 'query ' || user_id AS query, 'r' || (k % 20) AS top_ref, CASE WHEN event_type = 'purchase' THEN 'r' || (k % 5) WHEN event_type = 'click' THEN 'r' || (k * 7 % 20) END AS target_ref, event_type = 'error' AS negative, event_type = 'signup' AS no_answer FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))"]
