@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, arrow_batches, fresh_path, materialize, mix64, ngram_hashes, release_memory
+from .common import Tokens, arrow_batches, fresh_path, materialize, mix64, ngram_hashes, release_memory, write_table
 
 U = np.uint64
 BITS_PER_KEY, PROBES = 10, 7
@@ -268,7 +268,7 @@ def _segment_count(docs: DataFrame, order: int) -> int:
 
 def _store(df: DataFrame, name: str) -> tuple[str, DataFrame]:
     path = fresh_path(df.sparkSession, name)
-    df.repartition("p").write.partitionBy("p").parquet(path)
+    write_table(df.repartition("p"), path, "p")
     return path, df.sparkSession.read.schema(df.schema).parquet(path)
 
 
