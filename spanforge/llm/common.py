@@ -61,12 +61,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder under the shared one, if it is there."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing will read again: what was made of them must be stored by now."""
     for t in tables:
-        sc = t.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        remove(t.sparkSession, t.stored_at)
 
 
 def sized(df: DataFrame, row_bytes: int, limit: int | None = None) -> DataFrame:
