@@ -260,6 +260,30 @@ def test_no_pair_is_lost_at_any_size_of_a_band(spark, common):
     assert not lost
 
 
+def test_unlike_texts_of_the_same_words_are_no_candidates(spark):
+    """Bigrams that most documents share don't chain long unlike texts into a cluster."""
+    rng = np.random.default_rng(23)
+    rows = [(i, " ".join(f"v{w}" for w in rng.integers(0, 60, 700))) for i in range(300)]
+    rows.append((300, rows[0][1] + " v1 v2"))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sk = sketch_join.sketches(d, 2, 0.6).cache()
+    assert sketch_join.candidates(sk, 0.6).count() == 1
+    assert sum(n for _, n in near_links(d).values()) == 2
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.6, 0.8, 0.9, 1.0])
+def test_equal_parts_at_the_threshold(threshold):
+    """Each of two sets at the threshold has as many equal parts as it counts on, where the grams that differ are spread to touch most parts."""
+    for u in range(1, 80):
+        both = math.ceil(threshold * u - 1e-9)
+        off = {int(x) for x in np.linspace(0, u, u - both, endpoint=False)}
+        for mine in (set(), off, {x for x in off if x % 2}):
+            a, b = (np.array(sorted(set(range(u)) - x), np.uint64) + np.uint64(1) for x in (mine, off - mine))
+            keys = [set(sketch_join.part_keys(np.array([0, len(x)]), x, threshold)[2].tolist()) for x in (a, b)]
+            size = np.array([len(a), len(b)])
+            assert (len(keys[0] & keys[1]) >= sketch_join.needed(size, size, np.ones(2, np.int64), threshold)).all()
+
+
 def test_linked_pairs_of_sets():
     rng, sets = np.random.default_rng(17), []
     for size in rng.integers(5, 120, 100):
