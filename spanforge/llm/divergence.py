@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tokens, arrow_batches, free_name
+from .common import Tokens, arrow_batches, discard, free_name, materialize
 
 CLASSES = ["vowel", "consonant", "upper", "letter", "digit", "space", "line", "stop", "symbol"]
 MIN_CHARS, MIN_WORDS = 200, 40
@@ -30,6 +30,8 @@ PRIOR = 2.0
 COMMON_WORDS, WORD_SHARE = 40, 0.002
 CHAR_LIMIT, WORD_LIMIT = 0.25, 0.36
 ALL = "\0all"
+#: Bits of the map of labelled ids for each of them, and the power of two that it has at most (32 MB).
+ID_BITS, MOST_BITS = 16, 28
 
 
 def _class_table() -> np.ndarray:
@@ -183,14 +185,59 @@ def fit_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> R
     return References(out_chars, words, shares)
 
 
+def may_be_among(docs: DataFrame, ids: DataFrame) -> Column:
+    """Whether a row's doc_id may be one of `ids` (stored, of docs' type): always if it is, else for one in ID_BITS or, where these exceed MOST_BITS, more."""
+    bits = 1 << min(MOST_BITS, max(20, (ID_BITS * ids.count() - 1).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+
+    def build(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            p = np.sort(b.column(0).to_numpy())
+            for part in np.split(p, np.flatnonzero(np.diff(p >> 20)) + 1):
+                if len(part):
+                    held.setdefault(int(part[0] >> 20), np.zeros(1 << 20, bool))[part & 0xFFFFF] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())], ["slice", "data"])
+
+    found = ids.select(place(ids.columns[0]).alias("p")).repartition(F.shiftright("p", 20)).mapInArrow(build, "slice long, data binary").collect()
+    table = np.zeros(bits // 8, np.uint8)
+    for r in found:
+        table[r.slice << 17 : (r.slice + 1) << 17] = np.frombuffer(r.data, np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def among(place: pa.Array) -> pa.Array:
+        p = place.to_numpy(zero_copy_only=False)
+        return pa.array((held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
+
+    return among(place(docs["doc_id"]))
+
+
 def good_documents(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The documents that `labels` call good, all of them; `docs` itself without labels or where none of them is labelled good."""
+    """The documents that `labels` call good, all of them, stored with their language and text; `docs` itself without labels or where none of them is labelled good.
+
+    A bitmap of the labelled ids goes first, so that the join, which is exact, moves hardly any other text."""
     if labels is None:
         return docs
     mark = free_name(docs, "good")
-    ids = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias(mark)).distinct()
-    good = docs.join(ids, docs["doc_id"] == ids[mark], "left_semi")
-    return docs if good.isEmpty() else good
+    ids = materialize(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias(mark)).distinct(), "goodids")
+    kind = docs.schema["doc_id"].dataType
+    some = docs.where(may_be_among(docs, ids)) if kind == ids.schema[mark].dataType and kind.simpleString() in ("bigint", "int", "string") else docs
+    # the same join at all sizes: what a broadcast saves here is little, and it ends where the ids no longer fit
+    good = materialize(some.join(ids.hint("merge"), some["doc_id"] == ids[mark], "left_semi").select("lang", "text"), "good")
+    discard(ids)
+    if good.isEmpty():
+        discard(good)
+        return docs
+    return good
+
+
+def fit_good(docs: DataFrame, labels: DataFrame | None) -> References:
+    good = good_documents(docs, labels)
+    refs = fit_references(good)
+    if good is not docs:
+        discard(good)
+    return refs
 
 
 def distances(texts: pa.Array, langs: list[str], refs: References) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -209,7 +256,7 @@ def distances(texts: pa.Array, langs: list[str], refs: References) -> tuple[np.n
 
 def judge(docs: DataFrame, refs: References | None = None, key: str = "doc_id", labels: DataFrame | None = None) -> DataFrame:
     """(key, chars, words, char_distance, word_distance, keep) for each row of `docs`."""
-    held = docs.sparkSession.sparkContext.broadcast(refs or fit_references(good_documents(docs, labels)))
+    held = docs.sparkSession.sparkContext.broadcast(refs or fit_good(docs, labels))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -235,4 +282,4 @@ def keep_column(docs: DataFrame, refs: References) -> Column:
 
 def keep_typical(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The rows of `docs` that the rules keep."""
-    return docs.where(keep_column(docs, fit_references(good_documents(docs, labels))))
+    return docs.where(keep_column(docs, fit_good(docs, labels)))

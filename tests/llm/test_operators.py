@@ -485,6 +485,34 @@ def test_junk_does_not_shift_the_references(spark):
     assert set(few.chars) == {"yy", divergence.ALL}
 
 
+def shuffled_bytes(spark):
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_texts_without_a_good_label_are_not_moved(spark, kind):
+    rng = np.random.default_rng(29)
+    rows = [(i, " ".join(f"{w:x}" for w in rng.integers(0, 1 << 60, 1000)), "en") for i in [*range(300), *range(20), None]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(300)] + [(None, 1), (1000, 1)], "doc_id long, quality int").withColumn("doc_id", F.col("doc_id").cast(kind))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start = shuffled_bytes(spark)
+        refs = divergence.fit_references(docs.where("doc_id % 10 = 0"))
+        assert shuffled_bytes(spark) - start < 1e6
+        start = shuffled_bytes(spark)
+        held = divergence.judge(docs, labels=labels)
+        assert shuffled_bytes(spark) - start < 0.4 * sum(len(r[1]) for r in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rounded = lambda df: sorted(repr([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.collect())
+    assert rounded(held) == rounded(divergence.judge(docs, refs))
+
+
 def test_rules_keep_labelled_good_documents(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     j = divergence.judge(d, labels=labels).join(labels, "doc_id").toPandas()
