@@ -268,14 +268,22 @@ def judge(docs: DataFrame, refs: References | None = None, key: str = "doc_id",
     return docs.select(F.col(key), F.col("lang").cast("string"), "text").mapInArrow(run, f"`{key}` {kind}, chars long, words long, char_distance double, word_distance double, keep boolean")
 
 
+def kept_rows(text: pa.Array, lang: pa.Array, refs: References) -> np.ndarray:
+    """Whether each row is kept, judged a few MB of text at a time, however long the batch."""
+    out = [np.zeros(0, bool)]
+    for b in arrow_batches([pa.RecordBatch.from_arrays([text, lang], ["text", "lang"])]):
+        _, _, cd, wd, ok = distances(b.column(0), _langs(b.column(1)), refs)
+        out.append(~ok | ((cd <= CHAR_LIMIT) & (wd <= WORD_LIMIT)))
+    return np.concatenate(out)
+
+
 def keep_column(docs: DataFrame, refs: References) -> Column:
     """Whether a row of `docs` is kept; the text goes to Python, the other columns don't."""
     held = docs.sparkSession.sparkContext.broadcast(refs)
 
     @F.arrow_udf("boolean")
     def kept(text: pa.Array, lang: pa.Array) -> pa.Array:
-        _, _, cd, wd, ok = distances(text, _langs(lang), held.value)
-        return pa.array(~ok | ((cd <= CHAR_LIMIT) & (wd <= WORD_LIMIT)))
+        return pa.array(kept_rows(text, lang, held.value))
 
     return kept(docs["text"], docs["lang"].cast("string"))
 

@@ -485,6 +485,20 @@ def test_junk_does_not_shift_the_references(spark):
     assert set(few.chars) == {"yy", divergence.ALL}
 
 
+def test_long_batches_are_judged_in_parts(monkeypatch):
+    rng = np.random.default_rng(31)
+    rows = [" ".join(rng.choice(["some", "words", "of", "a", "text"], 2000)) if i % 3 else "#$%& " * 2000 for i in range(2000)]
+    refs = divergence.References({k: np.full(9, 1 / 9) for k in ("en", divergence.ALL)}, {k: ["of"] for k in ("en", divergence.ALL)}, {k: np.array([0.2, 0.8]) for k in ("en", divergence.ALL)})
+    text, lang = pa.array(rows), pa.array(["en"] * len(rows))
+    _, _, cd, wd, ok = divergence.distances(text, ["en"] * len(rows), refs)
+    seen, real = [], divergence.distances
+    monkeypatch.setattr(divergence, "distances", lambda t, *a: seen.append(t.nbytes) or real(t, *a))
+    got = divergence.kept_rows(text, lang, refs)
+    assert got.tolist() == (~ok | ((cd <= divergence.CHAR_LIMIT) & (wd <= divergence.WORD_LIMIT))).tolist()
+    assert max(seen) < 5 << 20 and sum(seen) > 15 << 20
+    assert divergence.kept_rows(text[:0], lang[:0], refs).tolist() == []
+
+
 def shuffled_bytes(spark):
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext
     sc._jsc.sc().listenerBus().waitUntilEmpty()
