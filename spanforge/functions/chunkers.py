@@ -9,8 +9,9 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 PREFIX = {"import": "I", "function": "F", "class": "C", "method": "M", "module": "G", "paragraph": "P", "line": "P", "token": "P"}
 
@@ -113,20 +114,32 @@ CHUNKERS = {
 }
 
 
-def chunk_documents(docs: DataFrame, chunker: str = "paragraph") -> DataFrame:
-    """(doc_id, region_id, ordinal, start_line, end_line, kind, text) of each chunk."""
-    split = CHUNKERS[chunker]
-    kind = docs.schema["doc_id"].dataType.simpleString()
+#: Characters of documents that are chunked at once (a single longer document is chunked whole).
+CHARACTERS = 2_000_000
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc_id, text in zip(frame.doc_id, frame.text, strict=True):
-                for n, (first, last, what, body) in enumerate(split(text or ""), 1):
-                    rows.append((doc_id, label(what, n), n, first, last, what, body))
-            yield pd.DataFrame(rows, columns=["doc_id", "region_id", "ordinal", "start_line", "end_line", "kind", "text"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, region_id string, ordinal long, start_line long, end_line long, kind string, text string")
+def chunk_documents(docs: DataFrame, chunker: str = "paragraph") -> DataFrame:
+    """(doc_id, region_id, ordinal, start_line, end_line, kind, text) of each chunk. Batches are cut by characters, so that a task holds few texts at a time."""
+    split = CHUNKERS[chunker]
+    kind = docs.schema["doc_id"].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), *((n, pa.string() if n in ("region_id", "kind", "text") else pa.int64()) for n in ("region_id", "ordinal", "start_line", "end_line", "kind", "text"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, held = [[] for _ in schema], 0
+            for doc_id, text in zip(*(batch.column(i) for i in range(2)), strict=True):
+                doc_id, text = doc_id.as_py(), text.as_py() or ""
+                for n, (first, last, what, body) in enumerate(split(text), 1):
+                    for column, value in zip(columns, (doc_id, label(what, n), n, first, last, what, body), strict=True):
+                        column.append(value)
+                held += len(text)
+                if held >= CHARACTERS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                    columns, held = [[] for _ in schema], 0
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, region_id string, ordinal long, start_line long, end_line long, kind string, text string")
 
 
 def safe_windows(tokens: list[int], budget: int, overlap: int = 0) -> list[tuple[int, int]]:
